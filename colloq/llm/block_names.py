@@ -121,9 +121,9 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", block: int = BLOCK
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns (doc_id must name a row)."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of ``docs`` that stay, with their own columns; ``docs`` must be a stable scan (a table or files)."""
+    gone = durable(exact_duplicates(docs).where("not kept").select(F.col("row_id").alias("_row")))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(docs.columns)
 
 
 ORACLE = r"""

@@ -15,35 +15,55 @@ uses a bounded sample of labelled rows; scoring is one pass without a shuffle.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix, words_of
+
 
 #: Words in a window and between the starts of two windows.
 SPAN, STEP = 48, 24
 #: Labelled rows of each class in the training sample, and characters in one at most.
-SAMPLE = {1: 1600, 0: 3200}
+SAMPLE = {1: 1600, 0: 2400}
 SAMPLE_CHARS = 60_000
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, UNITS = 1 << 14, 1 << 15, 8, 16, 8
 #: Words whose inputs a worker remembers, and words scored at once.
 CACHE, AT_ONCE = 200_000, 400_000
-STEPS, BATCH = (350, 250, 150), 64
+STEPS, BATCH = (260, 160, 80), 64
+
+
+_PUNCTUATION = b".,;:!?\"'()[]{}<>#*$%&|-_/\\~`^+=@"
+
 
+class Features:
+    """For words in a row: each one's row in the word table, its n-grams' number and their rows."""
 
-def _clean(word: bytes) -> str:
-    return word.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}<>#*$%&|-_/\\~`^+=@") or "\0"
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, grams: np.ndarray):
+        self.ids, self.sizes, self.grams = ids, sizes, grams
+        self.starts = np.cumsum(sizes) - sizes
 
+    def take(self, rows: np.ndarray) -> Features:
+        n = self.sizes[rows]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[rows], n)
+        return Features(self.ids[rows], n, self.grams[at])
 
-def features(word: bytes) -> tuple[int, list[int]]:
-    """Row of the word and rows of its character 3- and 4-grams."""
-    w = _clean(word)
-    padded = f"^{w}$"
-    grams = [zlib.crc32(padded[i : i + n].encode()) % GRAM_ROWS for n in (3, 4) for i in range(max(1, len(padded) - n + 1))]
-    return zlib.crc32(w.encode()) % WORD_ROWS, grams
+
+def features(words: list[bytes]) -> Features:
+    """Lower-cased words without punctuation; n-grams are of 3 and 4 bytes of UTF-8 with marks at both ends."""
+    text = b"\n".join(words).decode("utf-8", "replace").lower().encode().translate(None, _PUNCTUATION)
+    raw = np.frombuffer(b"^" + text.replace(b"\n", b"$$\n^") + b"$$\n\n\n", np.uint8)
+    h, _, _ = words_of(raw, np.array([0, len(raw)]), lower=False)
+    line = raw == 10
+    code = raw[:-3].astype(np.uint64) << np.uint64(16) | raw[1:-2].astype(np.uint64) << np.uint64(8) | raw[2:-1].astype(np.uint64)
+    codes = np.stack([code, code << np.uint64(8) | raw[3:].astype(np.uint64) | np.uint64(1 << 40)], 1)
+    three = ~(line[:-3] | line[1:-2] | line[2:-1])
+    valid = np.stack([three, three & ~line[3:]], 1)
+    grams = (mix(codes[valid]) % np.uint64(GRAM_ROWS)).astype(np.int64)
+    word = np.cumsum(line[:-3])
+    sizes = np.bincount(np.repeat(word, valid.sum(1)), minlength=len(words))[: len(words)]
+    return Features((h % np.uint64(WORD_ROWS)).astype(np.int64), sizes, grams)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -63,14 +83,11 @@ class Network:
         }
         self.shift, self.scale = np.float32(0), np.float32(1)
 
-    def inputs(self, rows: list[tuple[int, list[int]]]) -> tuple[np.ndarray, tuple]:
-        """Projected inputs (words, 6 * UNITS); the first half drives the forward direction."""
-        ids = np.array([x for x, _ in rows], np.int64)
-        sizes = np.array([len(g) for _, g in rows], np.int64)
-        grams = np.array([g for _, gs in rows for g in gs], np.int64)
-        mean = np.add.reduceat(self.p["gram"][grams], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes[:, None].astype(np.float32)
-        x = np.concatenate([self.p["word"][ids], mean], 1)
-        return x @ self.p["w"] + self.p["b"], (ids, sizes, grams, x)
+    def inputs(self, f: Features) -> tuple[np.ndarray, np.ndarray]:
+        """Projected inputs (words, 6 * UNITS), the first half for the forward direction, and what they project."""
+        mean = np.add.reduceat(self.p["gram"][f.grams], f.starts) / f.sizes[:, None].astype(np.float32)
+        x = np.concatenate([self.p["word"][f.ids], mean], 1)
+        return x @ self.p["w"] + self.p["b"], x
 
     def forward(self, table: np.ndarray, index: np.ndarray, live: np.ndarray, keep: bool = False):
         """Logits of windows: ``index`` (windows, span) into ``table``, ``live`` marks true words."""
@@ -144,9 +161,9 @@ class _Trainer:
         self.v = {k: np.zeros_like(v) for k, v in self.m.items()}
         self.sq = {k: np.full(len(net.p[k]), 1e-8, np.float32) for k in ("word", "gram")}
 
-    def step(self, rows, index, live, label, rate: float = 0.01, sparse: float = 0.08) -> None:
+    def step(self, rows: Features, index, live, label, rate: float = 0.01, sparse: float = 0.08) -> None:
         net = self.net
-        table, (ids, sizes, grams, x) = net.inputs(rows)
+        table, x = net.inputs(rows)
         g, dtable, _ = net.gradients(table, index, live, label)
         g["w"], g["b"] = x.T @ dtable, dtable.sum(0)
         dx = dtable @ net.p["w"].T
@@ -155,8 +172,8 @@ class _Trainer:
             self.m[k] += 0.1 * (grad - self.m[k])
             self.v[k] += 0.01 * (grad * grad - self.v[k])
             net.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)
-        spread = np.repeat(dx[:, WORD_DIM:] / sizes[:, None].astype(np.float32), sizes, axis=0)
-        for k, (at, grad) in (("word", _rows_sum(ids, dx[:, :WORD_DIM])), ("gram", _rows_sum(grams, spread))):
+        spread = np.repeat(dx[:, WORD_DIM:] / rows.sizes[:, None].astype(np.float32), rows.sizes, axis=0)
+        for k, (at, grad) in (("word", _rows_sum(rows.ids, dx[:, :WORD_DIM])), ("gram", _rows_sum(rows.grams, spread))):
             self.sq[k][at] += (grad * grad).mean(1)
             net.p[k][at] -= sparse * grad / np.sqrt(self.sq[k][at])[:, None]
 
@@ -199,16 +216,18 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Network | None
     place: dict[bytes, int] = {}
     words = np.array([place.setdefault(w, len(place)) for s in split for w in s], np.int64)
     counts = np.array([len(s) for s in split], np.int64)
-    rows = [features(w) for w in place]
+    rows = features(list(place)) if place else None
+    if rows is None:
+        return None
     starts, r, net = np.cumsum(counts) - counts, np.random.default_rng(seed), Network(seed)
     # How telling each n-gram is, by the share of toxic and clean documents that hold it.
     share = np.zeros((2, GRAM_ROWS))
     for k in range(len(counts)):
         own = np.unique(words[starts[k] : starts[k] + counts[k]])
         if len(own):
-            share[int(label[k]), np.unique(np.concatenate([rows[i][1] for i in own]))] += 1
+            share[int(label[k]), np.unique(rows.take(own).grams)] += 1
     share = np.log((share[1] + 0.5) / (label.sum() + 1)) - np.log((share[0] + 0.5) / ((1 - label).sum() + 1))
-    telling = np.array([np.mean(share[g]) for _, g in rows] or [0.0])
+    telling = np.add.reduceat(share[rows.grams], rows.starts) / rows.sizes
     centre = np.array([starts[k] + (np.argmax(telling[words[starts[k] : starts[k] + counts[k]]]) if counts[k] else 0) for k in range(len(counts))])
     usable = [np.flatnonzero((label == c) & (counts > 0)) for c in (0, 1)]
     if not len(usable[0]) or not len(usable[1]):
@@ -226,8 +245,8 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Network | None
             at = np.where((label[pick] == 1) | (r.random(BATCH) < 0.5), near, anywhere)
             index, live = _grid(words, starts[pick] + at, np.minimum(SPAN, counts[pick] - at))
             used, inverse = np.unique(index, return_inverse=True)
-            trainer.step([rows[i] for i in used], inverse.reshape(index.shape), live, label[pick], 0.01 / (1 + phase))
-        table = net.inputs(rows)[0]
+            trainer.step(rows.take(used), inverse.reshape(index.shape), live, label[pick], 0.01 / (1 + phase))
+        table = _table(net, rows)
         logits, centre = document_logits(net, table, words, counts)
     # The threshold that errs least on the sample, in the middle of its gap.
     own = np.isfinite(logits)
@@ -241,6 +260,10 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Network | None
     return net
 
 
+def _table(net: Network, rows: Features, at_once: int = 20_000) -> np.ndarray:
+    return np.concatenate([net.inputs(rows.take(np.arange(i, min(i + at_once, len(rows.ids)))))[0] for i in range(0, len(rows.ids), at_once)])
+
+
 class _Words(dict):
     """Rows of the input table by word; new words wait in ``fresh``."""
 
@@ -272,8 +295,7 @@ def scorer(net: Network | None):
                     place, table = _Words(), table[:0]
                 index = np.array([place[w] for w in words], np.int64)
                 if place.fresh:
-                    new = [net.inputs([features(w) for w in place.fresh[i : i + 20_000]])[0] for i in range(0, len(place.fresh), 20_000)]
-                    table = np.concatenate([table, *new])
+                    table = np.concatenate([table, _table(net, features(place.fresh))])
                     place.fresh = []
                 logits, _ = document_logits(net, table, index, np.array(counts, np.int64))
                 scores[at : at + len(counts)] = _sigmoid((logits.astype(np.float64) - net.shift).clip(-60, 60))
