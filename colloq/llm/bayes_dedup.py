@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -120,8 +121,8 @@ def _verifiable(k: int):
     return run
 
 
-def _cuts(percent: int) -> list[tuple[int, int]]:
-    return [(n, least_matches(n, percent / 100)) for n in range(BATCH, HASHES + 1, BATCH)]
+def _cuts(percent: int, batch: int = BATCH, hashes: int = HASHES) -> list[tuple[int, int]]:
+    return [(n, least_matches(n, percent / 100)) for n in range(batch, hashes + 1, batch)]
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -134,9 +135,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (both - inter)
 
 
-def _pairs(percent: int):
-    cuts = _cuts(percent)
-
+def _pairs(percent: int, cuts: list[tuple[int, int]]):
     def run(batches):
         for batch in batches:
             a, b, sa, sb, xa, xb = (batch.column(i).to_pylist() for i in range(6))
@@ -170,9 +169,10 @@ def _tile_links(tile: np.ndarray, comp: np.ndarray, sig: list[bytes], sets: list
     right = np.flatnonzero(tile != tile.min()) if cross else left
     if not len(left) or not len(right):
         return []
-    m = np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), HASHES)
+    m = np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1)
+    step = cuts[0][0]
     same = np.zeros((len(left), len(right)), np.int16)
-    for j in range(BATCH):
+    for j in range(step):
         same += m[left, j][:, None] == m[right, j][None, :]
     alive = (same >= cuts[0][1]) & (comp[left][:, None] != comp[right][None, :])
     if not cross:
@@ -183,8 +183,8 @@ def _tile_links(tile: np.ndarray, comp: np.ndarray, sig: list[bytes], sets: list
     for n, least in cuts[1:]:
         if not len(p):
             return []
-        more = (m[p, n - BATCH : n] == m[q, n - BATCH : n]).sum(1)
-        count = more + ((m[p, :BATCH] == m[q, :BATCH]).sum(1) if count is None else count)
+        more = (m[p, n - step : n] == m[q, n - step : n]).sum(1)
+        count = more + ((m[p, :step] == m[q, :step]).sum(1) if count is None else count)
         ok = count >= least
         p, q, count = p[ok], q[ok], count[ok]
     if not len(p):
@@ -221,9 +221,8 @@ def _tile_links(tile: np.ndarray, comp: np.ndarray, sig: list[bytes], sets: list
     return out
 
 
-def _tiles(percent: int):
+def _tiles(percent: int, cuts: list[tuple[int, int]]):
     """Rows (key, ta, tb, tile, comp, sig, shingles) sorted by (key, ta, tb): a group may span batches."""
-    cuts = _cuts(percent)
 
     def links(rows):
         tile, comp = np.array([r[3] for r in rows]), np.array([r[4] for r in rows], np.int64)
@@ -270,19 +269,34 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS,
 
 
 def _components_of(texts: DataFrame, classes: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
-    """(node, component) over the classes that have a link."""
-    bands = classes.select("rep", F.explode("bands").alias("key"))
-    full = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead"), F.bit_xor(F.xxhash64("rep")).alias("print")).where("size > 1")
+    """(node, component) over the classes that share a band with another."""
+
+    def sets(need: DataFrame) -> DataFrame:
+        own = texts.join(need.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return own.mapInArrow(_verifiable(words), "doc_id long, sig binary, shingles binary").withColumnRenamed("doc_id", "rep")
+
+    return banded_components(classes.select("rep", F.explode("bands").alias("key")), sets, percent, tile, _cuts(percent))
+
+
+def banded_components(bands: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, tile: int, cuts: list[tuple[int, int]]) -> DataFrame:
+    """(node, component) from ``bands`` (key, rep), where a pair of rows may repeat.
+
+    ``sets`` gives (rep, sig, shingles) for a table of those reps that are
+    candidates; ``cuts`` are the signature batches and the matches they need.
+    """
+    hot = durable(bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead != top").select("key", "lead"))
+    every = durable(bands.join(hot, "key").select("key", "lead", "rep").distinct())
     # Buckets with the same members are one bucket.
-    hot = durable(full.groupBy("size", "lead", "print").agg(F.min("key").alias("key")).select("key", "size", "lead"))
-    members = durable(bands.join(hot, "key").select("key", "size", "lead", "rep"))
-    need = durable(members.select(F.col("rep").alias("doc_id")).distinct())
-    shingled = durable(texts.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_verifiable(words), "doc_id long, sig binary, shingles binary"))
-    a = shingled.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"), F.col("shingles").alias("xa"))
-    b = shingled.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"), F.col("shingles").alias("xb"))
+    same = every.groupBy("key").agg(F.count("*").alias("size"), F.min("lead").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("print"))
+    same = durable(same.groupBy("size", "first", "print").agg(F.min("key").alias("key")).select("key", "size"))
+    members = durable(every.join(same, "key"))
+    need = durable(members.select("rep").distinct())
+    shingled = durable(sets(need))
+    a = shingled.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("shingles").alias("xa"))
+    b = shingled.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("shingles").alias("xb"))
     first = durable(members.where("rep != lead").groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")))
     near = first.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "xa", "xb")
-    labels = durable(connected_components(near.mapInArrow(_pairs(percent), "a long, b long")))
+    labels = durable(connected_components(near.mapInArrow(_pairs(percent, cuts), "a long, b long")))
     # What is left: buckets with more than one component.
     placed = durable(members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("comp")))
     mixed = durable(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key"))
@@ -290,10 +304,10 @@ def _components_of(texts: DataFrame, classes: DataFrame, words: int, percent: in
     left = placed.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(7)), tiles).cast("int"))
     left = left.select("key", "rep", "comp", "tile", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     left = left.select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "comp", "rep")
-    left = left.join(shingled, F.col("rep") == F.col("doc_id")).select("key", "ta", "tb", "tile", "comp", "sig", "shingles")
+    left = left.join(shingled, "rep").select("key", "ta", "tb", "tile", "comp", "sig", "shingles")
     left = left.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
-    more = durable(connected_components(left.mapInArrow(_tiles(percent), "a long, b long")).withColumnRenamed("component", "root"))
-    nodes = need.select(F.col("doc_id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("n"), F.coalesce("component", "rep").alias("c"))
+    more = durable(connected_components(left.mapInArrow(_tiles(percent, cuts), "a long, b long")).withColumnRenamed("component", "root"))
+    nodes = need.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("n"), F.coalesce("component", "rep").alias("c"))
     return durable(nodes.join(more, F.col("c") == F.col("node"), "left").select(F.col("n").alias("node"), F.coalesce("root", "c").alias("component")))
 
 
