@@ -1,9 +1,13 @@
 """All registered queries with the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from .plans.queries import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -33,10 +33,11 @@ def lexicon_hits(df: DataFrame, lex: DataFrame, key: str, text: str = "text", pa
 
 def pattern_hits(df: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(key, type, text, start, end, confidence) of the pattern rules."""
-    found = []
-    for kind, confidence, pattern in lexicons.PATTERNS:
-        if kinds is None or kind in kinds:
-            found.append(F.transform(spans.find_all(F.col(text), pattern), lambda x, k=kind, c=confidence: F.struct(F.lit(k).alias("type"), x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), F.lit(c).alias("confidence"))))
+    def typed(kind: str, confidence: float, pattern: str) -> Column:
+        row = lambda x: F.struct(F.lit(kind).alias("type"), x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), F.lit(confidence).alias("confidence"))
+        return F.transform(spans.find_all(F.col(text), pattern), row)
+
+    found = [typed(*rule) for rule in lexicons.PATTERNS if kinds is None or rule[0] in kinds]
     return df.select(key, F.inline(F.flatten(F.array(*found))))
 
 
