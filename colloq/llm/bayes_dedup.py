@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix, shingles_of, text_slices, words_of
+from .common import durable, lean, mix, shingles_of, text_slices, words_of
 from .components import connected_components
 
 #: Words in a shingle; bands and rows of the signature.
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS,
     null component_id and is kept. Other columns are ignored; no rows give no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digest = durable(texts.mapInArrow(_digest(words), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    digest = durable(texts.mapInArrow(lean(_digest(words)), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     classes = durable(digest.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     labels = _components_of(texts, classes, words, percent, tile)
     named = durable(classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component")))
@@ -273,7 +273,7 @@ def _components_of(texts: DataFrame, classes: DataFrame, words: int, percent: in
 
     def sets(need: DataFrame) -> DataFrame:
         own = texts.join(need.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return own.mapInArrow(_verifiable(words), "doc_id long, sig binary, shingles binary").withColumnRenamed("doc_id", "rep")
+        return own.mapInArrow(lean(_verifiable(words)), "doc_id long, sig binary, shingles binary").withColumnRenamed("doc_id", "rep")
 
     return banded_components(classes.select("rep", F.explode("bands").alias("key")), sets, percent, tile, _cuts(percent))
 
@@ -296,7 +296,7 @@ def banded_components(bands: DataFrame, sets: Callable[[DataFrame], DataFrame],
     b = shingled.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("shingles").alias("xb"))
     first = durable(members.where("rep != lead").groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")))
     near = first.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "xa", "xb")
-    labels = durable(connected_components(near.mapInArrow(_pairs(percent, cuts), "a long, b long")))
+    labels = durable(connected_components(near.mapInArrow(lean(_pairs(percent, cuts)), "a long, b long")))
     # What is left: buckets with more than one component.
     placed = durable(members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("comp")))
     mixed = durable(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key"))
@@ -306,7 +306,7 @@ def banded_components(bands: DataFrame, sets: Callable[[DataFrame], DataFrame],
     left = left.select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "comp", "rep")
     left = left.join(shingled, "rep").select("key", "ta", "tb", "tile", "comp", "sig", "shingles")
     left = left.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
-    more = durable(connected_components(left.mapInArrow(_tiles(percent, cuts), "a long, b long")).withColumnRenamed("component", "root"))
+    more = durable(connected_components(left.mapInArrow(lean(_tiles(percent, cuts)), "a long, b long")).withColumnRenamed("component", "root"))
     nodes = need.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("n"), F.coalesce("component", "rep").alias("c"))
     return durable(nodes.join(more, F.col("c") == F.col("node"), "left").select(F.col("n").alias("node"), F.coalesce("root", "c").alias("component")))
 

@@ -12,6 +12,7 @@ find their place by their rank within their length, counted in salted parts.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -20,13 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable
+from .common import Generations, durable, lean
 
 WINDOW = 4096
 #: The id that ends each document.
 END = 2
-#: Words whose ids a worker remembers before it starts anew.
-CACHE = 300_000
+#: Words in a generation of a worker's memo.
+CACHE = 80_000
+#: Marks that may end a word and are never joined with the letter before them.
+TRAILING = b".,;:!?#*$%&"
+#: Letters below this (Latin, Greek, Cyrillic) have long had the categories that the pre-tokeniser knows.
+PLAIN = "\u0530"
+#: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512)))
 #: Remainders in a salted part of a length, on average, and parts at least.
 PART, LEAST_PARTS = 500_000, 64
 
@@ -37,25 +45,44 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _WordIds(dict):
+class _WordIds(Generations):
     """Ids of white-space separated words, as little-endian bytes.
 
-    The vocabulary's own pre-tokeniser drops white space and never joins what
-    stands on either side of it, so a text's ids are its words' ids in a row.
+    The vocabulary's own pre-tokeniser drops white space, lower-cases, and never
+    joins a letter or digit with punctuation, so a text's ids are its words'
+    ids in a row, and a word's are its stem's and its trailing marks' in a row.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        out = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = out
-        return out
+        vocabulary = Tokenizer.from_file(path)
+        self.encode, self.merge = vocabulary.encode, vocabulary.model.tokenize
+        self.parts = Generations(self._part, 2 * CACHE)
+        super().__init__(self._whole, CACHE)
+
+    def _part(self, word: bytes) -> bytes:
+        """Words of plain letters go to the merges alone; all others through the whole tokeniser."""
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and "Σ" not in text and max(text) < PLAIN:
+            letters = unicodedata.normalize("NFC", text).lower()
+            if letters.isalpha():
+                ids = [t.id for t in self.merge(letters.encode().decode("latin-1").translate(BYTE_LETTERS))]
+                return np.array(ids, "<u4").tobytes()
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _whole(self, word: bytes) -> bytes:
+        if b"<|" in word:  # the special tokens' own strings
+            return self.parts.make(word)
+        stem = word.rstrip(TRAILING)
+        if word.isascii():
+            stem = stem.lower()
+            whole = word.lower()
+        else:
+            whole = word
+        if len(stem) < len(word) and stem and stem.decode("utf-8", "replace").lower()[-1].isalpha():
+            return self.parts[stem] + self.parts[word[len(stem) :]]
+        return self.parts[whole] if len(whole) <= 64 else self.parts.make(whole)
 
 
 def _pieces(path: str, window: int, end: int):
@@ -123,7 +150,7 @@ def packed(docs: DataFrame, text_col: str = "text", path: str | None = None, win
     spark = docs.sparkSession
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     texts = docs.select(F.col("doc_id").cast("long"), F.col(text_col).cast("string"))
-    pieces = durable(texts.mapInArrow(_pieces(path or vocabulary_path(), window, end), schema).withColumn("piece", F.monotonically_increasing_id()))
+    pieces = durable(texts.mapInArrow(lean(_pieces(path or vocabulary_path(), window, end)), schema).withColumn("piece", F.monotonically_increasing_id()))
     rest = pieces.where(F.col("length") < window)
     counts = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer rows than a window has tokens
     ranges, used, sequences = [], {}, 0

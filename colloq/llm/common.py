@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +62,39 @@ def clear_scratch(spark: SparkSession) -> None:
         fs.delete(status.getPath(), True)
 
 
+def lean(run):
+    """Arrow function ``run`` that hands freed memory back to the system at a task's end, as workers are used again."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every system's C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+class Generations(dict):
+    """A bounded memo of ``make``: when ``size`` entries are young, they become the old ones, and old ones that were not asked for go."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words with good avalanche (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bayes_dedup import _cuts, banded_components
-from .common import durable, mix, powers
+from .common import durable, lean, mix, powers
 
 #: Characters in a shingle; bands and rows of the signature; links need 100 * intersection >= PERCENT * union.
 CHARS, BANDS, ROWS, PERCENT, TILE = 5, 12, 5, 80, 192
@@ -152,15 +152,15 @@ def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT,
     No rows give no rows; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = durable(texts.mapInArrow(_lines, "doc_id long, line_no long, n_chars long, node long"))
+    lines = durable(texts.mapInArrow(lean(_lines), "doc_id long, line_no long, n_chars long, node long"))
 
     def sets(need: DataFrame) -> DataFrame:
         at = lines.where("doc_id is not null").join(need, F.col("node") == F.col("rep")).groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
         wanted = durable(at.groupBy("at.doc_id").agg(F.collect_list(F.col("at.line_no").cast("int")).alias("wanted")))  # a document's own lines
         own = texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("text", "wanted")
-        return own.mapInArrow(_verifiable, "rep long, sig binary, shingles binary").dropDuplicates(["rep"])
+        return own.mapInArrow(lean(_verifiable), "rep long, sig binary, shingles binary").dropDuplicates(["rep"])
 
-    bands = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(_bands, "key long, rep long")
+    bands = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(_bands), "key long, rep long")
     labels = banded_components(bands, sets, percent, tile, _cuts(percent, 20, HASHES))
     placed = durable(lines.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("doc_id", "line_no", "n_chars", F.coalesce("component", "node").alias("component")))
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))

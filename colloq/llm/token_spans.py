@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 
 def encoder(path: str | None = None):
     """The encoding and each id's number of bytes."""
@@ -93,7 +95,7 @@ def section_tokens(docs: DataFrame, text_col: str = "text", path: str | None = N
                 yield pa.record_batch([batch.column(0).take(pa.array(rows)), *map(pa.array, rest)], ["doc_id", "section", "start", "n_chars", "n_tokens", "n_crossing"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "doc_id long, section long, start long, n_chars long, n_tokens long, n_crossing long")
+    return rows.mapInArrow(lean(run), "doc_id long, section long, start long, n_chars long, n_tokens long, n_crossing long")
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:

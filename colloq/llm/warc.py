@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, scratch_root
+from .common import durable, lean, scratch_root
 
 DICTIONARY_MAGIC, SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 #: Ends a row: a skippable frame of one byte, which is the line end.
@@ -186,7 +186,7 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = 0, archive_
     n = max(1, -(-int(total) // archive_bytes))
     keys = ["page_id", "sha"]
     placed = rows.repartition(n, *keys).join(again.repartition(n, *keys), keys, "left")
-    records = placed.sortWithinPartitions("page_id", "sha").select("page_id", "url", "payload", "first").mapInArrow(_write, "value binary")
+    records = placed.sortWithinPartitions("page_id", "sha").select("page_id", "url", "payload", "first").mapInArrow(lean(_write), "value binary")
     records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
@@ -202,7 +202,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
                 yield pa.record_batch([pa.array([r[c] for r in out], k) for c, k in zip(columns, kinds)], columns)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lean(run), schema)
 
 
 def archived(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
