@@ -12,6 +12,8 @@ find their place by their rank within their length, counted in salted parts.
 
 from __future__ import annotations
 
+import re
+import struct
 import unicodedata
 import zlib
 
@@ -27,9 +29,9 @@ WINDOW = 4096
 #: The id that ends each document.
 END = 2
 #: Words in a generation of a worker's memo.
-CACHE = 80_000
-#: Marks that may end a word and are never joined with the letter before them.
-TRAILING = b".,;:!?#*$%&"
+CACHE = 200_000
+#: ASCII marks between a letter and white space or the text's end; an apostrophe may be joined with letters.
+ENDS = re.compile(rb"(?<=[a-z])([^a-zA-Z0-9\s'\x80-\xff]+)(?=\s|\Z)")
 #: Letters below this (Latin, Greek, Cyrillic) have long had the categories that the pre-tokeniser knows.
 PLAIN = "\u0530"
 #: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
@@ -45,45 +47,46 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _WordIds(Generations):
-    """Ids of white-space separated words, as little-endian bytes.
+def split_words(raw: bytes) -> list[bytes]:
+    """Parts of a text whose ids in a row are the text's ids.
 
-    The vocabulary's own pre-tokeniser drops white space, lower-cases, and never
-    joins a letter or digit with punctuation, so a text's ids are its words'
-    ids in a row, and a word's are its stem's and its trailing marks' in a row.
+    The vocabulary's pre-tokeniser drops white space, lower-cases, and never
+    joins a letter with the marks after it. So ASCII letters are lower-cased
+    and marks that end a word stand alone, which leaves few distinct parts.
+    Texts with combining accents (which lower case may compose) or with the
+    special tokens' own strings are left as they are.
     """
+    if b"<|" in raw:
+        return raw.split()
+    if b"\xcc" not in raw and b"\xcd" not in raw:
+        raw = raw.lower()
+    return ENDS.sub(rb" \1", raw).split()
+
+
+class _WordIds(Generations):
+    """Ids of words, as little-endian bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         vocabulary = Tokenizer.from_file(path)
         self.encode, self.merge = vocabulary.encode, vocabulary.model.tokenize
-        self.parts = Generations(self._part, 2 * CACHE)
-        super().__init__(self._whole, CACHE)
+        super().__init__(self._ids, CACHE)
 
-    def _part(self, word: bytes) -> bytes:
+    def _ids(self, word: bytes) -> bytes:
         """Words of plain letters go to the merges alone; all others through the whole tokeniser."""
         text = word.decode("utf-8", "replace")
-        if text.isalpha() and "Σ" not in text and max(text) < PLAIN:
-            letters = unicodedata.normalize("NFC", text).lower()
-            if letters.isalpha():
-                ids = [t.id for t in self.merge(letters.encode().decode("latin-1").translate(BYTE_LETTERS))]
-                return np.array(ids, "<u4").tobytes()
+        if text.isalpha() and "Σ" not in text:
+            if not word.isascii():
+                text = unicodedata.normalize("NFC", text)
+            letters = text.lower()
+            if letters.isalpha() and max(letters) < PLAIN:
+                if not word.isascii():
+                    letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = [t.id for t in self.merge(letters)]
+                return struct.pack(f"<{len(ids)}I", *ids)
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _whole(self, word: bytes) -> bytes:
-        if b"<|" in word:  # the special tokens' own strings
-            return self.parts.make(word)
-        stem = word.rstrip(TRAILING)
-        if word.isascii():
-            stem = stem.lower()
-            whole = word.lower()
-        else:
-            whole = word
-        if len(stem) < len(word) and stem and stem.decode("utf-8", "replace").lower()[-1].isalpha():
-            return self.parts[stem] + self.parts[word[len(stem) :]]
-        return self.parts[whole] if len(whole) <= 64 else self.parts.make(whole)
-
 
 def _pieces(path: str, window: int, end: int):
     def run(batches):
@@ -92,7 +95,7 @@ def _pieces(path: str, window: int, end: int):
             doc, start, length, crc, total = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                ids = b"".join([ids_of[w] for w in raw.split()]) + last
+                ids = b"".join([ids_of[w] for w in split_words(raw)]) + last
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     part = ids[4 * at : 4 * (at + window)]
