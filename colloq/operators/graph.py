@@ -126,7 +126,8 @@ def betweenness(edges: DataFrame) -> DataFrame:
                         share[v] += paths[v] / paths[w] * (1 + share[w])
                     if w != s:
                         total[w] += share[w]
-        yield pd.DataFrame({"node": list(total), "score": list(total.values())})
+        if total:
+            yield pd.DataFrame({"node": list(total), "score": list(total.values())})
 
     kind = edges.schema["source"].dataType.simpleString()
     nodes = both_ways(edges).select("node").distinct().repartition(16)
