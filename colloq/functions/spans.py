@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TOKEN = r"[\p{L}\p{N}_\p{M}]+"
 SENTENCE_END = r"[.!?؟।]+\s+|\n+"
 
 
 def find_all(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text) of the matches, left to right."""
+    """Array of (start, end, text) of the matches, left to right; for patterns with few matches in a text."""
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split(text, pattern, -1)
 
@@ -31,13 +32,21 @@ def find_all(text: Column, pattern: str) -> Column:
     return F.transform(F.array(F.struct(hits.alias("h"), gaps.alias("g"))), build)[0]
 
 
+def words(df: DataFrame, text: str = "text", pattern: str = TOKEN, *keep: str) -> DataFrame:
+    """One row per token without its place in the text: the kept columns, pos, token."""
+    return df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))).alias("pos", "token"))
+
+
 def tokens(df: DataFrame, text: str = "text", pattern: str = TOKEN, *keep: str) -> DataFrame:
     """One row per token: the kept columns, pos, start, end, token.
 
-    The offset of a token is a running sum over the pieces of its own text, so
-    it is found with one array pass per text.
+    Offsets are a running sum over a text's own pieces; as a window it is
+    linear in the tokens of a text, where growing an array would be quadratic.
     """
-    return df.select(*keep, F.posexplode(find_all(F.col(text), pattern)).alias("pos", "t")).select(*keep, "pos", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.text").alias("token"))
+    hits, gaps = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1)), F.split(F.col(text), pattern, -1)
+    rows = df.select(*keep, F.monotonically_increasing_id().alias("_row"), F.posexplode(F.arrays_zip(gaps.alias("g"), hits.alias("h"))).alias("pos", "x")).where("x.h is not null")
+    end = F.sum(F.length("x.g") + F.length("x.h")).over(Window.partitionBy("_row").orderBy("pos")).cast("int")
+    return rows.withColumn("end", end).select(*keep, "pos", (F.col("end") - F.length("x.h")).alias("start"), "end", F.col("x.h").alias("token"))
 
 
 def sentences(text: Column) -> Column:

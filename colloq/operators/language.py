@@ -74,7 +74,7 @@ def merge_subnames(groups: DataFrame, key: str) -> DataFrame:
 def keywords(toks: DataFrame, key: str, stop: list[str], stem, top: int | None = 20, least_chars: int = 3, least_count: int = 1) -> DataFrame:
     """(key, stem, word, n, total, positions, rank) by stem: the shortest surface form, the first ten places."""
     t = toks.where((F.length("token") >= least_chars) & ~F.col("token").isin(stop)).withColumn("stem", stem(F.col("token")))
-    g = t.groupBy(key, "stem").agg(F.count("*").alias("n"), F.min_by("token", F.struct(F.length("token"), F.col("pos"))).alias("word"), F.slice(F.sort_array(F.collect_list("start")), 1, 10).alias("positions"))
+    g = t.groupBy(key, "stem").agg(F.count("*").alias("n"), F.min_by("token", F.struct(F.length("token"), F.col("pos"))).alias("word"), F.slice(F.sort_array(F.collect_list("start" if "start" in toks.columns else "pos")), 1, 10).alias("positions"))
     g = g.withColumn("total", F.sum("n").over(Window.partitionBy(key))).where(F.col("n") >= least_count)
     ranked = g.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "word", "stem")))
     return ranked if top is None else ranked.where(F.col("rank") <= top)

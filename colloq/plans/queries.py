@@ -60,17 +60,17 @@ def clips(spark, d) -> DataFrame:
 
 
 def words(spark, d) -> DataFrame:
-    return spans.tokens(t(spark, d, "documents"), "text", "[A-Za-z]+", "doc_id").withColumn("token", F.lower("token"))
+    return spans.words(t(spark, d, "documents"), "text", "[A-Za-z]+", "doc_id").withColumn("token", F.lower("token"))
 
 
 def lexicon(spark, d) -> DataFrame:
     """Distinct benchmark words of six letters and more, typed by their length."""
-    w = spans.tokens(t(spark, d, "benchmark"), "text", "[A-Za-z]+", "item_id").select(F.lower("token").alias("term")).where(F.length("term") >= 6).distinct()
+    w = spans.words(t(spark, d, "benchmark"), "text", "[A-Za-z]+", "item_id").select(F.lower("token").alias("term")).where(F.length("term") >= 6).distinct()
     return w.withColumn("type", F.element_at(F.array(F.lit("PERSON"), F.lit("LOCATION"), F.lit("ORGANIZATION")), F.length("term") % 3 + 1))
 
 
 def hits(spark, d) -> DataFrame:
-    return words(spark, d).join(lexicon(spark, d), F.col("token") == F.col("term")).select("doc_id", "pos", "start", "end", "token", "type")
+    return words(spark, d).join(lexicon(spark, d), F.col("token") == F.col("term")).select("doc_id", "pos", "token", "type")
 
 
 def entity_edges(spark, d) -> DataFrame:
