@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lean, mix, shingles_of, text_slices, words_of
+from .common import durable, lean, mix, shingles_of, text_batches, text_slices, words_of
 from .components import connected_components
 
 #: Words in a shingle; bands and rows of the signature.
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS,
     repeat a doc_id form one document as far as links go. A null doc_id has a
     null component_id and is kept. Other columns are ignored; no rows give no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     digest = durable(texts.mapInArrow(lean(_digest(words)), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     classes = durable(digest.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     labels = _components_of(texts, classes, words, percent, tile)

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Generations, durable, lean
+from .common import Generations, durable, lean, text_batches
 
 WINDOW = 4096
 #: The id that ends each document.
 END = 2
 #: Words in a generation of a worker's memo.
-CACHE = 200_000
+CACHE = 150_000
 #: ASCII marks between a letter and white space or the text's end; an apostrophe may be joined with letters.
 ENDS = re.compile(rb"(?<=[a-z])([^a-zA-Z0-9\s'\x80-\xff]+)(?=\s|\Z)")
 #: Letters below this (Latin, Greek, Cyrillic) have long had the categories that the pre-tokeniser knows.
@@ -152,7 +152,7 @@ def packed(docs: DataFrame, text_col: str = "text", path: str | None = None, win
     """
     spark = docs.sparkSession
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    texts = docs.select(F.col("doc_id").cast("long"), F.col(text_col).cast("string"))
+    texts = text_batches(docs).select(F.col("doc_id").cast("long"), F.col(text_col).cast("string"))
     pieces = durable(texts.mapInArrow(lean(_pieces(path or vocabulary_path(), window, end)), schema).withColumn("piece", F.monotonically_increasing_id()))
     rest = pieces.where(F.col("length") < window)
     counts = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer rows than a window has tokens

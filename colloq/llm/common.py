@@ -28,6 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch that carries whole texts; Spark's own 10,000 take tens of MB in each worker and its JVM.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df`` after lowering the session's Arrow batch, for operators that hand whole texts to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate results; a local one only if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)

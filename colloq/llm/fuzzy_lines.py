@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bayes_dedup import _cuts, banded_components
-from .common import durable, lean, mix, powers
+from .common import durable, lean, mix, powers, text_batches
 
 #: Characters in a shingle; bands and rows of the signature; links need 100 * intersection >= PERCENT * union.
 CHARS, BANDS, ROWS, PERCENT, TILE = 5, 12, 5, 80, 192
@@ -151,7 +151,7 @@ def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT,
     its lines, and repeats of that line stay with it. A null doc_id comes last.
     No rows give no rows; other columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = durable(texts.mapInArrow(lean(_lines), "doc_id long, line_no long, n_chars long, node long"))
 
     def sets(need: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, text_batches
 
 
 def encoder(path: str | None = None):
@@ -94,7 +94,7 @@ def section_tokens(docs: DataFrame, text_col: str = "text", path: str | None = N
                 rows, *rest = (np.concatenate(x).astype(np.int64) for x in out)
                 yield pa.record_batch([batch.column(0).take(pa.array(rows)), *map(pa.array, rest)], ["doc_id", "section", "start", "n_chars", "n_tokens", "n_crossing"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col(text_col).cast("string"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long"), F.col(text_col).cast("string"))
     return rows.mapInArrow(lean(run), "doc_id long, section long, start long, n_chars long, n_tokens long, n_crossing long")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mix, words_of
+from .common import lean, mix, text_batches, words_of
 
 
 #: Words in a window and between the starts of two windows.
@@ -30,7 +30,7 @@ SAMPLE = {1: 1600, 0: 2400}
 SAMPLE_CHARS = 60_000
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, UNITS = 1 << 14, 1 << 15, 8, 16, 8
 #: Words whose inputs a worker remembers, and words scored at once.
-CACHE, AT_ONCE = 80_000, 150_000
+CACHE, AT_ONCE = 60_000, 80_000
 STEPS, BATCH = (260, 160, 80), 64
 
 
@@ -338,7 +338,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         yield from scorer(shared.value)(batches)
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
+    out = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(_remainder() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -353,7 +353,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for out in scorer(shared.value)([pair]):
                 yield batch.filter(pa.array(out.column(1).to_numpy() < 0.5))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return text_batches(docs).mapInArrow(lean(run), docs.schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
