@@ -298,7 +298,7 @@ def scorer(net: Network | None):
                     table = np.concatenate([table, _table(net, features(place.fresh))])
                     place.fresh = []
                 logits, _ = document_logits(net, table, index, np.array(counts, np.int64))
-                scores[at : at + len(counts)] = _sigmoid((logits.astype(np.float64) - net.shift).clip(-60, 60))
+                scores[at : at + len(counts)] = np.where(np.isfinite(logits), _sigmoid((logits.astype(np.float64) - net.shift).clip(-60, 60)), 0.0)
                 at += len(counts)
             yield pa.record_batch([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
