@@ -44,7 +44,8 @@ def tokens(df: DataFrame, text: str = "text", pattern: str = TOKEN, *keep: str)
     linear in the tokens of a text, where growing an array would be quadratic.
     """
     hits, gaps = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1)), F.split(F.col(text), pattern, -1)
-    rows = df.select(*keep, F.monotonically_increasing_id().alias("_row"), F.posexplode(F.arrays_zip(gaps.alias("g"), hits.alias("h"))).alias("pos", "x")).where("x.h is not null")
+    own = df.select(*keep, F.monotonically_increasing_id().alias("_row"), F.arrays_zip(gaps.alias("g"), hits.alias("h")).alias("_x"))
+    rows = own.select(*keep, "_row", F.posexplode("_x").alias("pos", "x")).where("x.h is not null")
     end = F.sum(F.length("x.g") + F.length("x.h")).over(Window.partitionBy("_row").orderBy("pos")).cast("int")
     return rows.withColumn("end", end).select(*keep, "pos", (F.col("end") - F.length("x.h")).alias("start"), "end", F.col("x.h").alias("token"))
 

@@ -43,3 +43,9 @@ def test_spans(spark):
 )
 def test_edits(ref, hyp, counts):
     assert kernels.edit_counts(ref.split(), hyp.split()) == counts
+
+
+def test_tokens_have_their_places(spark):
+    texts = [(1, "ab, cd ab"), (2, " x"), (2, "é yy"), (3, None)]
+    got = sorted((r["k"], r["pos"], r["start"], r["end"], r["token"]) for r in spans.tokens(spark.createDataFrame(texts, "k int, text string"), "text", spans.TOKEN, "k").collect())
+    assert got == [(1, 0, 0, 2, "ab"), (1, 1, 4, 6, "cd"), (1, 2, 7, 9, "ab"), (2, 0, 0, 1, "é"), (2, 0, 1, 2, "x"), (2, 1, 2, 4, "yy")]
