@@ -141,8 +141,7 @@ def _pairs(percent: int, cuts: list[tuple[int, int]]):
             a, b, sa, sb, xa, xb = (batch.column(i).to_pylist() for i in range(6))
             keep = []
             for r in range(len(a)):
-                p, q = np.frombuffer(sa[r], np.uint32), np.frombuffer(sb[r], np.uint32)
-                same = np.cumsum(p == q)
+                same = np.cumsum(np.frombuffer(sa[r], np.uint32) == np.frombuffer(sb[r], np.uint32)) if cuts else None
                 if all(same[n - 1] >= m for n, m in cuts) and _linked(np.frombuffer(xa[r], np.uint64), np.frombuffer(xb[r], np.uint64), percent):
                     keep.append(r)
             yield pa.record_batch([pa.array([a[r] for r in keep], pa.int64()), pa.array([b[r] for r in keep], pa.int64())], ["a", "b"])
@@ -164,19 +163,23 @@ class _Forest(dict):
 
 
 def _tile_links(tile: np.ndarray, comp: np.ndarray, sig: list[bytes], sets: list[bytes], cross: bool, percent: int, cuts) -> list[tuple[int, int]]:
-    """Component pairs that a tile's exact links join; ``tile`` tells the two sides of a tile pair apart."""
+    """Component pairs that a tile's exact links join; ``tile`` tells the two sides of a tile pair apart. Without ``cuts`` no pair is dropped by its signature."""
     left = np.flatnonzero(tile == tile.min()) if cross else np.arange(len(tile))
     right = np.flatnonzero(tile != tile.min()) if cross else left
     if not len(left) or not len(right):
         return []
-    m = np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1)
-    step = cuts[0][0]
-    same = np.zeros((len(left), len(right)), np.int16)
-    for j in range(step):
-        same += m[left, j][:, None] == m[right, j][None, :]
-    alive = (same >= cuts[0][1]) & (comp[left][:, None] != comp[right][None, :])
+    size = np.array([len(x) // 8 for x in sets], np.int64)
+    alive = comp[left][:, None] != comp[right][None, :]
+    alive &= 100 * np.minimum(size[left][:, None], size[right][None, :]) >= percent * np.maximum(size[left][:, None], size[right][None, :])
     if not cross:
         alive &= left[:, None] < right[None, :]
+    if cuts:
+        m = np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1)
+        step = cuts[0][0]
+        same = np.zeros((len(left), len(right)), np.int16)
+        for j in range(step):
+            same += m[left, j][:, None] == m[right, j][None, :]
+        alive &= same >= cuts[0][1]
     p, q = np.nonzero(alive)
     p, q = left[p], right[q]
     count = None
@@ -189,26 +192,32 @@ def _tile_links(tile: np.ndarray, comp: np.ndarray, sig: list[bytes], sets: list
         p, q, count = p[ok], q[ok], count[ok]
     if not len(p):
         return []
-    best = np.argsort(-count, kind="stable")
-    p, q = p[best], q[best]
+    if count is not None:
+        best = np.argsort(-count, kind="stable")
+        p, q = p[best], q[best]
     used = np.unique(np.concatenate([p, q]))
     arrays = {int(i): np.frombuffer(sets[i], np.uint64) for i in used}
     forest, out = _Forest(), []
     if len(p) > 4 * len(used):
         # Many survivors: all intersections of the rows used, by one product of 0/1 matrices in column blocks.
         place = {int(i): r for r, i in enumerate(used)}
-        every, inverse = np.unique(np.concatenate(list(arrays.values())), return_inverse=True)
+        _, inverse, often = np.unique(np.concatenate(list(arrays.values())), return_inverse=True, return_counts=True)
         rows = np.repeat(np.arange(len(used)), [len(x) for x in arrays.values()])
+        # A shingle of one row is in no intersection; the others are sorted, so a block of columns is a slice.
+        shared = often > 1
+        rows, inverse = rows[shared[inverse]], (np.cumsum(shared) - 1)[inverse[shared[inverse]]]
+        by = np.argsort(inverse, kind="stable")
+        rows, inverse, columns = rows[by], inverse[by], int(shared.sum())
         inter = np.zeros((len(used), len(used)), np.float32)
-        for lo in range(0, len(every), 8192):
-            own = (inverse >= lo) & (inverse < lo + 8192)
-            dense = np.zeros((len(used), min(8192, len(every) - lo)), np.float32)
+        for lo in range(0, columns, 8192):
+            own = slice(*np.searchsorted(inverse, [lo, lo + 8192]))
+            dense = np.zeros((len(used), min(8192, columns - lo)), np.float32)
             dense[rows[own], inverse[own] - lo] = 1
             inter += dense @ dense.T
-        size = inter.diagonal()
+        many = size[used]
         at, to = np.array([place[int(i)] for i in p]), np.array([place[int(i)] for i in q])
         both = inter[at, to]
-        ok = 100.0 * both.astype(np.float64) >= percent * (size[at] + size[to] - both).astype(np.float64)
+        ok = 100.0 * both.astype(np.float64) >= percent * (many[at] + many[to] - both).astype(np.float64)
         for x, y in zip(comp[p[ok]].tolist(), comp[q[ok]].tolist()):
             if forest.union(x, y):
                 out.append((x, y))
@@ -282,7 +291,8 @@ def banded_components(bands: DataFrame, sets: Callable[[DataFrame], DataFrame],
     """(node, component) from ``bands`` (key, rep), where a pair of rows may repeat.
 
     ``sets`` gives (rep, sig, shingles) for a table of those reps that are
-    candidates; ``cuts`` are the signature batches and the matches they need.
+    candidates; ``cuts`` are the signature batches and the matches they need
+    (none: every candidate is compared exactly, and sig may be empty).
     """
     hot = durable(bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead != top").select("key", "lead"))
     every = durable(bands.join(hot, "key").select("key", "lead", "rep").distinct())

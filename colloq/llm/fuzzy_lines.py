@@ -2,8 +2,10 @@
 
 Lines are compared as sets of character 5-grams. A one-permutation MinHash
 signature (one hash for each shingle, the least in each bin) is banded for
-candidates; candidates are verified by their exact Jaccard similarity, and
+candidates; every candidate is verified by its exact Jaccard similarity, and
 distributed union-find joins them; the first line of each component stays.
+Hashes of a short line repeat one another (empty bins borrow), so the count of
+equal hashes is no binomial and no candidate is dropped by it.
 Lines with equal sets are one node from the start.
 
 This operator does not use DataFrame functions alone: hashing every character
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bayes_dedup import _cuts, banded_components
+from .bayes_dedup import banded_components
 from .common import durable, lean, mix, powers, text_batches
 
 #: Characters in a shingle; bands and rows of the signature; links need 100 * intersection >= PERCENT * union.
@@ -132,14 +134,14 @@ def _bands(batches):
 
 
 def _verifiable(batches):
-    """(text, wanted lines) to (rep, sig, shingles)."""
+    """(text, wanted lines) to (rep, sig, shingles); no signature is needed, so sig is empty."""
     for batch in batches:
         texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         lines = [(t or "").split("\n")[i] for t, own in zip(texts, wanted) for i in own]
         for _, _, _, sizes, h in _line_sets(lines):
-            keys, sig, ends, own = _keys(sizes, h), _signatures(sizes, h), np.cumsum(sizes), np.cumsum(sizes > 0) - 1
+            keys, ends = _keys(sizes, h), np.cumsum(sizes)
             at = np.flatnonzero(sizes)
-            yield pa.record_batch([pa.array(keys[at]), pa.array([sig[own[i]].tobytes() for i in at], pa.binary()), pa.array([h[ends[i] - sizes[i] : ends[i]].tobytes() for i in at], pa.binary())], ["rep", "sig", "shingles"])
+            yield pa.record_batch([pa.array(keys[at]), pa.array([b""] * len(at), pa.binary()), pa.array([h[ends[i] - sizes[i] : ends[i]].tobytes() for i in at], pa.binary())], ["rep", "sig", "shingles"])
 
 
 def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -161,7 +163,7 @@ def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT,
         return own.mapInArrow(lean(_verifiable), "rep long, sig binary, shingles binary").dropDuplicates(["rep"])
 
     bands = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(_bands), "key long, rep long")
-    labels = banded_components(bands, sets, percent, tile, _cuts(percent, 20, HASHES))
+    labels = banded_components(bands, sets, percent, tile, [])
     placed = durable(lines.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("doc_id", "line_no", "n_chars", F.coalesce("component", "node").alias("component")))
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     first = durable(placed.where("component is not null").groupBy("component").agg(F.min(order).alias("k")).select("component", F.col("k.d").alias("keep_doc_id"), F.col("k.l").alias("keep_line_no")))

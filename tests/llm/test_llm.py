@@ -78,6 +78,18 @@ def test_lines(docs):
     assert got == {(i, n): (*lines[up[k]][:2], up[k] == k) for k, (i, n, _) in enumerate(lines)}
 
 
+def test_short_lines(spark):
+    r, rows = random.Random(11), []
+    for i in range(3000):  # pairs at Jaccard similarity n / (n + n // 4), from 0.8
+        n = 4 + i % 23
+        line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n + 2)).join("xy")
+        rows += [(2 * i, line), (2 * i + 1, line + "".join(r.choice("ABCDEFGH") for _ in range(n // 4)))]
+    got = {x["doc_id"]: x["keep_doc_id"] for x in fuzzy_lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = collections.Counter(4 + i % 23 for i in range(3000) if got[2 * i + 1] == 2 * i)
+    assert all(got[2 * i] == 2 * i and got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(3000))
+    assert sum(found.values()) >= 2970 and sum(found[n] for n in (4, 5)) >= 254, found
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(0, 30)] + [(50, 60), (60, 55), (7, 7)]
     got = dict(components.connected_components(spark.createDataFrame(e, "a long, b long")).collect())
