@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,50 +91,69 @@ def distances(edges: DataFrame, start: Column, most: int = 32) -> DataFrame:
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """Exact directed betweenness by one search per source; the adjacency is broadcast, so this is for graphs that fit a worker."""
-    rows = edges.select("source", "target").distinct().limit(2_000_001).collect()
-    if len(rows) > 2_000_000:
+    pairs = edges.select("source", "target").distinct()
+    if pairs.count() > 2_000_000:
         raise ValueError("betweenness is for graphs of at most 2,000,000 edges")
-    out: dict = defaultdict(list)
-    names = set()
-    for s, t in rows:
-        if s != t:
-            out[s].append(t)
-        names |= {s, t}
-    shared = edges.sparkSession.sparkContext.broadcast(dict(out))
+    rows = pairs.toArrow()
+    m = rows.num_rows
+    index, names = pd.factorize(pd.concat([rows["source"].to_pandas(), rows["target"].to_pandas()]), sort=True)
     n = len(names)
+    ends = index.reshape(2, m)
+    ends = ends[:, ends[0] != ends[1]].astype(np.int32)
+    spark = edges.sparkSession
+    shared = spark.sparkContext.broadcast((ends[:, np.lexsort((ends[0], ends[1]))], ends[:, np.lexsort((ends[1], ends[0]))], names.tolist()))
 
     def run(batches):
-        graph, total = shared.value, defaultdict(float)
+        (into, out, labels), size = shared.value, 16
+        total, seen = np.zeros(n), np.zeros(n, bool)
         for pdf in batches:
-            for s in pdf["node"]:
-                order, before, paths, depth, queue = [], defaultdict(list), defaultdict(int), {s: 0}, deque([s])
-                paths[s] = 1
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in graph.get(v, ()):
-                        if w not in depth:
-                            depth[w] = depth[v] + 1
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share: dict = defaultdict(float)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        if total:
-            yield pd.DataFrame({"node": list(total), "score": list(total.values())})
+            for lo in range(0, len(pdf), size):
+                _dependencies(pdf["id"].to_numpy()[lo : lo + size], into, out, total, seen)
+        if seen.any():
+            at = np.flatnonzero(seen)
+            yield pd.DataFrame({"node": [labels[i] for i in at], "score": total[at]})
 
     kind = edges.schema["source"].dataType.simpleString()
-    nodes = both_ways(edges).select("node").distinct().repartition(16)
-    sums = nodes.mapInPandas(run, f"node {kind}, score double").groupBy("node").agg(F.sum("score").alias("score"))
+    sums = spark.range(0, n, 1, 48).mapInPandas(run, f"node {kind}, score double").groupBy("node").agg(F.sum("score").alias("score"))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     return sums.withColumn("score", F.col("score") * scale)
 
 
+def _spread(values: np.ndarray, live: np.ndarray, give: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes with an edge from a live one, ascending, and by row of ``values`` the sums that edges bring them; edges are sorted by ``take``."""
+    at = np.flatnonzero(live[give])
+    if not len(at):
+        return at, np.zeros((len(values), 0))
+    to = take[at]
+    first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    return to[first], np.add.reduceat(values.take(give[at], axis=1), first, axis=1)
+
+
+def _dependencies(sources: np.ndarray, into: np.ndarray, out: np.ndarray, total: np.ndarray, seen: np.ndarray) -> None:
+    """Adds the dependencies of a few sources (Brandes) to ``total``, all sources a level at a time.
+
+    ``into`` and ``out`` are the edges (source, target), sorted by target and by source.
+    """
+    n, row = len(total), np.arange(len(sources))
+    depth, paths = np.full((len(sources), n), -1, np.int32), np.zeros((len(sources), n))
+    depth[row, sources], paths[row, sources] = 0, 1
+    d = 0
+    while (front := depth == d).any():
+        to, sums = _spread(np.where(front, paths, 0.0), front.any(0), into[0], into[1])
+        fresh = (sums > 0) & (depth[:, to] < 0)
+        paths[:, to] += np.where(fresh, sums, 0.0)
+        depth[:, to] = np.where(fresh, d + 1, depth[:, to])
+        d += 1
+    share = np.zeros_like(paths)
+    for level in range(d - 1, 0, -1):
+        front = depth == level
+        to, sums = _spread(np.where(front, (1 + share) / np.where(front, paths, 1.0), 0.0), front.any(0), out[1], out[0])
+        share[:, to] += np.where(depth[:, to] == level - 1, paths[:, to] * sums, 0.0)
+    reached = depth > 0
+    total += np.where(reached, share, 0.0).sum(0)
+    seen |= reached.any(0)
+
+
 def find_node(nodes: DataFrame, text: str) -> DataFrame:
     """The first node, in order of insertion, whose label is or contains ``text``."""
     return nodes.where(F.col("label").contains(text)).orderBy("seq").limit(1)
