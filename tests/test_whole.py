@@ -56,3 +56,19 @@ def test_betweenness(spark, graph):
                     share[v] += paths[v] / paths[w] * (1 + share[w])
     scale = (len(graph) - 1) * (len(graph) - 2)
     assert dict(catalogue.queries()["betweenness"](spark, DATA).collect()) == pytest.approx({k: v / scale for k, v in want.items()}, abs=2e-9)
+
+
+def test_cer_all(spark):
+    texts = [(r["item_id"], r["text"].lower()) for r in sorted(read("benchmark", "item_id", "text"), key=lambda r: r["item_id"])]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {i: distance(a, b) for (i, a), (_, b) in zip(texts, texts[1:])}
+    assert len(want) == len(texts) - 1 and any("\n" in x or not x.isascii() for _, x in texts)
+    assert dict(catalogue.queries()["cer_all"](spark, DATA).collect()) == want
