@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, durable
+from .common import SPACE, durable, numbered
 
 #: Code points in a block.
 BLOCK = 4096
@@ -51,19 +51,21 @@ def _named(rows: DataFrame, spread: str, order: list[str], n: int) -> DataFrame:
     return rows.withColumns({"name": F.row_number().over(w).cast("long") * F.lit(_BUCKETS) + F.col("_bucket"), "twin": twin}).drop("_bucket")
 
 
-def document_identities(docs: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def document_identities(docs: DataFrame, text_col: str = "text", block: int = BLOCK, row_id: Column | None = None) -> DataFrame:
     """One row per input row: row_id, the columns of ``docs``'s digest and its identity (level, name).
 
     Columns: row_id, doc_id, n_points, text_sha256, level, name. Empty and
-    null texts have level 0 and name 0.
+    null texts have level 0 and name 0. ``row_id`` is a stored id of the rows;
+    without it ids are made, which cannot be joined back to ``docs``.
     """
     norm = normalised(F.col(text_col))
     n = _buckets(docs)
-    text = docs.select("doc_id", F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"), norm.alias("norm"))
+    row = F.monotonically_increasing_id() if row_id is None else row_id
+    text = docs.select(row.alias("row_id"), "doc_id", F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"), norm.alias("norm"))
     # The reference of each document to its blocks, without the text.
     refs = durable(
         text.select(
-            F.monotonically_increasing_id().alias("row_id"),
+            "row_id",
             "doc_id",
             "n_points",
             F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
@@ -105,7 +107,7 @@ def _recursive(placed: DataFrame, n: int) -> DataFrame:
         level += 1
 
 
-def exact_duplicates(docs: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def exact_duplicates(docs: DataFrame, text_col: str = "text", block: int = BLOCK, row_id: Column | None = None) -> DataFrame:
     """One row per input row with the row that stays for it.
 
     Columns: doc_id, keep_id, group_size, kept, text_sha256. Texts are equal
@@ -114,16 +116,17 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", block: int = BLOCK
     empty texts form one group; rows that repeat a doc_id are separate rows of
     one group. An empty table gives an empty result; other columns are ignored.
     """
-    ids = durable(document_identities(docs, text_col, block))
+    ids = durable(document_identities(docs, text_col, block, row_id))
     order = F.struct((-F.col("n_points")).alias("l"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("keep_id"), F.col("row_id").alias("keep_row"))
     groups = durable(ids.groupBy("level", "name").agg(F.min(order).alias("k"), F.count("*").alias("group_size")).select("level", "name", "k.keep_id", "k.keep_row", "group_size"))
     return ids.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256", "row_id")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; ``docs`` must be a stable scan (a table or files)."""
-    gone = durable(exact_duplicates(docs).where("not kept").select(F.col("row_id").alias("_row")))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stay, with their own columns."""
+    own = numbered(docs)
+    gone = durable(exact_duplicates(own, row_id=F.col("_row")).where("not kept").select(F.col("row_id").alias("_row")))
+    return own.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 ORACLE = r"""

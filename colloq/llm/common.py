@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that separates words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]"
@@ -65,6 +66,11 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a stored ``_row``: an id made anew at each scan may name other rows when files are split otherwise."""
+    return durable(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what :func:`durable` has left in the shared folder."""
     jvm = spark.sparkContext._jvm

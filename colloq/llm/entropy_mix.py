@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, SPACE, durable
+from .common import NOT_SPACE, SPACE, durable, numbered
 
 #: Weights dealt to the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -107,16 +107,17 @@ def _diffuse(group: pd.DataFrame) -> pd.DataFrame:
     return group[["row_id"]].assign(copies=pd.array(copies, dtype="Int64"))
 
 
-def mixed(docs: DataFrame, text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
+def mixed(docs: DataFrame, text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, chunk: int = CHUNK, row_id: Column | None = None) -> DataFrame:
     """One row per input row: row_id, doc_id, size, source_size, target, copies, taken.
 
     A null text has size 0; a null source is a source of its own, the last.
     Documents of size 0 take no tokens and stay once. Rows that repeat a doc_id
     are rounded separately. A source without words has target 0. An empty table
-    gives an empty result. ``row_id`` is monotonically_increasing_id() over
-    ``docs``, which must be a stable scan if it is used to join back.
+    gives an empty result. ``row_id`` is a stored id of the rows; without it
+    ids are made, which cannot be joined back to ``docs``.
     """
-    rows = durable(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
+    row = F.monotonically_increasing_id() if row_id is None else row_id
+    rows = durable(docs.select(row.alias("row_id"), F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
     sizes = durable(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = durable(source_targets(sizes, weights, share, most))
     solved = durable(tilts(sizes, targets, most).withColumnRenamed("source", "s"))
@@ -134,8 +135,8 @@ def mixed(docs: DataFrame, text_col: str = "text", weights: tuple[float, ...] =
 
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as many times as it is taken."""
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
-    copies = durable(mixed(docs).where("copies > 0").select(F.col("row_id").alias("_row"), "copies"))
+    own = numbered(docs)
+    copies = durable(mixed(own, row_id=F.col("_row")).where("copies > 0").select(F.col("row_id").alias("_row"), "copies"))
     return own.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
