@@ -25,10 +25,12 @@ SYMBOLS = r"[^#*$%&|<>]+"
 #: Share of a group that its estimate rests on, and the factor that makes it consistent
 #: for normal rows: SHARE / P(chi2(7) <= the SHARE quantile of chi2(5)).
 SHARE, CONSISTENT = 0.75, 1.412
-#: The largest squared distance that is kept: the 1 - 1e-6 quantile of chi2(5).
-CUT = 35.9
-#: Standard deviations added to each statistic's own, so that a statistic that is the same in all rows rejects none.
-FLOORS = (0.6, 0.12, 0.04, 0.2, 0.15)
+#: The largest squared distance that is kept: the 0.975 quantile of chi2(5).
+CUT = 12.83
+#: Least standard deviations. Length and word length vary in every group, so theirs only keep the matrix
+#: invertible. Symbols, repeated lines and repeated words are zero in most rows and constant in the core:
+#: there the floor is the scale, or one repeated window would reject a row.
+FLOORS = (0.01, 0.01, 0.04, 0.2, 0.15)
 LEAST_ROWS, LEAST_ESTIMATE, STEPS = 200, 20, 12
 P = len(FLOORS)
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -97,7 +99,8 @@ def _estimate(sums: DataFrame) -> DataFrame:
     """Means m0.., the Cholesky factor l00.. of the covariance with floors, and its log determinant."""
     out = sums.select("key", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[(F.col(f"q{i}{j}") / F.col("n")).alias(f"q{i}{j}") for i, j in _PAIRS])
     for i, j in _PAIRS:
-        cov = (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT + (FLOORS[i] ** 2 if i == j else 0.0)
+        cov = (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT
+        cov = F.greatest(cov, F.lit(FLOORS[i] ** 2)) if i == j else cov
         for k in range(j):
             cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cov, F.lit(1e-12))) if i == j else cov / F.col(f"l{j}{j}"))

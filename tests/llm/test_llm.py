@@ -149,6 +149,26 @@ def test_quality(docs):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and (not r["base_failed"] or not r["kept"])
 
 
+def test_quality_outliers(spark):
+    r = random.Random(7)
+    some = lambda n, pool=WORDS: [r.choice(pool) for _ in range(n)]
+    rows = [" ".join(some(r.randint(60, 200))) for _ in range(400)]
+    lines = [w + x for w in WORDS[:40] for x in ("", "", "")][:100]
+    r.shuffle(lines)
+    passage = some(20)
+    bad = {
+        "length": " ".join(some(3000)),
+        "word_length": " ".join(x + y for x, y in zip(some(100), some(100))),
+        "symbols": " ".join(some(80) + ["#"] * 20),
+        "dup_lines": "\n".join(lines),
+        "repeats": " ".join(passage + some(60) + passage),
+    }
+    got = robust_rules.rated(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*rows, *bad.values()])], "doc_id long, text string, lang string, source string")).collect()
+    gone = {x["doc_id"] for x in got if not x["kept"]}
+    assert not any(x["base_failed"] for x in got)
+    assert {400, 401, 402, 403, 404} <= gone and len(gone) <= 5 + 20
+
+
 def test_toxicity():
     r = random.Random(5)
     bad = [r.randrange(6) == 0 for _ in range(500)]
