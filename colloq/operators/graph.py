@@ -28,8 +28,12 @@ def sound_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(edges.columns)
 
 
-def calls_to_graph(ents: DataFrame, triples: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges from entities (call_id, type, normalized, text, start), triples and segments (call_id, speaker_id, idx)."""
+def calls_to_graph(ents: DataFrame, triples: DataFrame, segments: DataFrame, events: DataFrame | None = None, hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from entities (call_id, type, normalized, text, start), triples and segments (call_id, speaker_id, idx).
+
+    ``events`` (call_id, speaker_id, sentence_start in the call, sentence, action, actors, locations, times) and
+    watchlist ``hits`` (call_id, term) add Event and Keyword nodes; their edges need both ends.
+    """
     kinds = F.create_map(*[F.lit(x) for pair in lexicons.NODE_TYPES.items() for x in pair])
     relation = F.create_map(*[F.lit(x) for pair in lexicons.RELATION_EDGES.items() for x in pair])
     e = ents.withColumn("kind", kinds[F.col("type")]).where("kind is not null").withColumn("id", node_id(F.col("kind"), F.col("normalized")))
@@ -38,6 +42,18 @@ def calls_to_graph(ents: DataFrame, triples: DataFrame, segments: DataFrame) ->
     nodes = e.select("id", F.col("kind").alias("type"), F.col("normalized").alias("label"), F.lit(1).alias("mention_count"), F.struct("call_id", "start").alias("seq"))
     nodes = nodes.unionByName(s.select("id", F.lit("Speaker").alias("type"), F.coalesce("speaker_id", F.lit("UNKNOWN")).alias("label"), F.lit(1).alias("mention_count"), F.struct("call_id", F.col("idx").cast("int").alias("start")).alias("seq")))
     nodes = nodes.unionByName(s.select(call("call_id").alias("id"), F.lit("Call").alias("type"), F.col("call_id").cast("string").alias("label"), F.lit(1).alias("mention_count"), F.struct("call_id", F.lit(0).alias("start")).alias("seq")))
+    more = []
+    if events is not None:
+        name = lambda kind: lambda x: node_id(F.lit(kind), x)
+        ev = events.withColumn("id", node_id(F.lit("Event"), F.concat_ws("_", "call_id", "sentence_start", "action")))
+        nodes = nodes.unionByName(ev.select("id", F.lit("Event").alias("type"), F.concat("action", F.lit(": "), F.substring("sentence", 1, 50)).alias("label"), F.lit(1).alias("mention_count"), F.struct("call_id", F.col("sentence_start").cast("int").alias("start")).alias("seq")))
+        for column, kind, edge in (("actors", "Person", "HAS_ACTOR"), ("locations", "Location", "OCCURRED_AT"), ("times", "Date", "OCCURRED_ON"), ("times", "Time", "OCCURRED_ON")):
+            more.append(ev.select(F.col("id").alias("source"), F.explode(F.transform(column, name(kind))).alias("target"), F.lit(edge).alias("type"), "call_id"))
+        more.append(ev.where("speaker_id is not null").select(name("Speaker")(F.col("speaker_id")).alias("source"), F.col("id").alias("target"), F.lit("MENTIONED").alias("type"), "call_id"))
+    if hits is not None:
+        word = node_id(F.lit("Keyword"), F.col("term"))
+        nodes = nodes.unionByName(hits.select(word.alias("id"), F.lit("Keyword").alias("type"), F.col("term").alias("label"), F.lit(1).alias("mention_count"), F.struct("call_id", F.lit(0).alias("start")).alias("seq")))
+        more.append(hits.select(call("call_id").alias("source"), word.alias("target"), F.lit("MATCHES_WATCHLIST").alias("type"), "call_id"))
     nodes = upsert_nodes(nodes)
     said = s.select(F.col("id").alias("source"), call("call_id").alias("target"), F.lit("PARTICIPATED_IN").alias("type"), "call_id")
     told = e.select(F.col("id").alias("source"), call("call_id").alias("target"), F.lit("MENTIONED_IN").alias("type"), "call_id")
@@ -46,6 +62,8 @@ def calls_to_graph(ents: DataFrame, triples: DataFrame, segments: DataFrame) ->
     by_name = nodes.where(order[F.col("type")].isNotNull()).groupBy("label").agg(F.min_by("id", order[F.col("type")]).alias("nid"))
     t = t.join(by_name.select(F.col("label").alias("subject"), F.col("nid").alias("source")), "subject").join(by_name.select(F.col("label").alias("object"), F.col("nid").alias("target")), "object")
     edges = said.unionByName(told).unionByName(t.select("source", "target", "type", "call_id"))
+    for own in more:
+        edges = edges.unionByName(own)
     return nodes, sound_edges(upsert_edges(edges), nodes)
 
 

@@ -696,5 +696,10 @@ def kg_build(spark, d):
     c = _call(spark).withColumn("key", F.concat_ws("|", "call_id", "idx"))
     ents = language.entities(c, "key")
     call = F.split("key", r"\|")[0].alias("call_id")
-    tr = language.triples(language.events(c, ents, "key"), "key").select(call, "subject", "relation", "object")
-    return graph.calls_to_graph(ents.select(call, "type", "normalized", "text", "start"), tr, _call(spark))[1]
+    evs = language.events(c, ents, "key")
+    tr = language.triples(evs, "key").select(call, "subject", "relation", "object")
+    at = language.character_offsets(c, "call_id", "idx").select("key", "speaker_id", "at")
+    placed = evs.join(at, "key").withColumn("sentence_start", F.col("at") + F.col("sentence_start")).select(call, "speaker_id", "sentence_start", "sentence", "action", "actors", "locations", "times")
+    watched = spark.createDataFrame([("الشحنة", "")], "term string, note string")
+    hits = language.watchlist_hits(c, language.watchlist_terms(watched), "key").select(call, "term")
+    return graph.calls_to_graph(ents.select(call, "type", "normalized", "text", "start"), tr, _call(spark), placed, hits)[1]

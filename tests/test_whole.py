@@ -72,3 +72,13 @@ def test_cer_all(spark):
     want = {i: distance(a, b) for (i, a), (_, b) in zip(texts, texts[1:])}
     assert len(want) == len(texts) - 1 and any("\n" in x or not x.isascii() for _, x in texts)
     assert dict(catalogue.queries()["cer_all"](spark, DATA).collect()) == want
+
+
+def test_kg_build(spark):
+    from colloq.operators import graph
+
+    edges = catalogue.queries()["kg_build"](spark, DATA).cache()
+    kinds = {r["type"] for r in edges.select("type").distinct().collect()}
+    assert {"PARTICIPATED_IN", "MENTIONED_IN", "HAS_ACTOR", "OCCURRED_AT", "OCCURRED_ON", "MENTIONED", "MATCHES_WATCHLIST"} <= kinds
+    actor = edges.where("type = 'HAS_ACTOR'").first()["target"]
+    assert graph.timeline(edges, actor).count() > 0
