@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lean, mix, shingles_of, text_batches, text_slices, words_of
+from .common import durable, lean, mix, own_columns, shingles_of, text_batches, text_slices, words_of
 from .components import connected_components
 
 #: Words in a shingle; bands and rows of the signature.
@@ -135,14 +135,24 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (both - inter)
 
 
+def _likely(x: bytes, y: bytes, cuts: list[tuple[int, int]]) -> bool:
+    """Whether two signatures pass every cut; the next batch of hashes is compared only if the last one passed."""
+    x, y, at, same = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), 0, 0
+    for n, least in cuts:
+        same += int(np.count_nonzero(x[at:n] == y[at:n]))
+        at = n
+        if same < least:
+            return False
+    return True
+
+
 def _pairs(percent: int, cuts: list[tuple[int, int]]):
     def run(batches):
         for batch in batches:
             a, b, sa, sb, xa, xb = (batch.column(i).to_pylist() for i in range(6))
             keep = []
             for r in range(len(a)):
-                same = np.cumsum(np.frombuffer(sa[r], np.uint32) == np.frombuffer(sb[r], np.uint32)) if cuts else None
-                if all(same[n - 1] >= m for n, m in cuts) and _linked(np.frombuffer(xa[r], np.uint64), np.frombuffer(xb[r], np.uint64), percent):
+                if _likely(sa[r], sb[r], cuts) and _linked(np.frombuffer(xa[r], np.uint64), np.frombuffer(xb[r], np.uint64), percent):
                     keep.append(r)
             yield pa.record_batch([pa.array([a[r] for r in keep], pa.int64()), pa.array([b[r] for r in keep], pa.int64())], ["a", "b"])
 
@@ -322,9 +332,14 @@ def banded_components(bands: DataFrame, sets: Callable[[DataFrame], DataFrame],
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that another document stands for."""
+    """The rows of ``docs`` without those that another document stands for, with their own columns.
+
+    The threshold is op8's (PERCENT). Rows with null, empty and blank texts and
+    rows without doc_id all stay; rows that repeat a doc_id go or stay together.
+    No rows give no rows.
+    """
     gone = durable(near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti").select(own_columns(docs))
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, durable, numbered
+from .common import SPACE, durable, numbered, own_columns, unused
 
 #: Code points in a block.
 BLOCK = 4096
@@ -123,10 +123,15 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", block: int = BLOCK
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    own = numbered(docs)
-    gone = durable(exact_duplicates(own, row_id=F.col("_row")).where("not kept").select(F.col("row_id").alias("_row")))
-    return own.join(gone, "_row", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stay, with their own columns, whatever their names.
+
+    Rows with null, empty and blank texts are one group, of which one row
+    stays; so it is with rows that are equal in all columns. No rows, no rows.
+    """
+    row = unused(docs, "_row")
+    own = numbered(docs, row)
+    gone = durable(exact_duplicates(own, row_id=F.col(row)).where("not kept").select(F.col("row_id").alias(row)))
+    return own.join(gone, row, "left_anti").select(own_columns(docs))
 
 
 ORACLE = r"""

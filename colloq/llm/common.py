@@ -11,7 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words in every contract of this package.
@@ -42,17 +42,29 @@ def text_batches(df: DataFrame) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate results; a local one only if the session names none."""
+    """The shared folder for intermediate results.
+
+    A local folder is made only where driver and executors are one process;
+    elsewhere a missing folder is an error, as executors would each write to
+    their own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = chosen.get() if chosen.isDefined() else None
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="colloq-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below the folder of this application."""
+    return f"{scratch_root(spark)}/colloq-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back.
 
@@ -60,24 +72,34 @@ def durable(df: DataFrame) -> DataFrame:
     the table has exact sizes for the planner. Values that depend on where a
     row ran (generated row ids) are fixed from here on.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/colloq-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a stored ``_row``: an id made anew at each scan may name other rows when files are split otherwise."""
-    return durable(df.withColumn("_row", F.monotonically_increasing_id()))
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a stored row id ``name``: an id made anew at each scan may name other rows when files are split otherwise."""
+    return durable(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what :func:`durable` has left in the shared folder."""
+    """Deletes what this application has left in the shared folder."""
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "colloq-*")) or []:
-        fs.delete(status.getPath(), True)
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/colloq-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lean(run):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, SPACE, durable, numbered
+from .common import NOT_SPACE, SPACE, durable, numbered, own_columns, unused
 
 #: Weights dealt to the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -134,10 +134,15 @@ def mixed(docs: DataFrame, text_col: str = "text", weights: tuple[float, ...] =
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as many times as it is taken."""
-    own = numbered(docs)
-    copies = durable(mixed(own, row_id=F.col("_row")).where("copies > 0").select(F.col("row_id").alias("_row"), "copies"))
-    return own.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """``docs`` with each row as many times as it is taken, with its own columns, whatever their names.
+
+    Rows of size 0 (null, empty and blank texts) stay once; equal rows are
+    rounded separately; a null source is a source. No rows give no rows.
+    """
+    row, copy = unused(docs, "_row"), unused(docs, "_copy")
+    own = numbered(docs, row)
+    copies = durable(mixed(own, row_id=F.col(row)).where("copies > 0").select(F.col("row_id").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(copy)))
+    return own.join(copies, row).withColumn(copy, F.explode(copy)).select(own_columns(docs))
 
 
 def op10_entropy_mixing(spark, sf_dir: str) -> DataFrame:

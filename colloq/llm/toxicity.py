@@ -10,11 +10,14 @@ its overlapping windows, which cover the whole text.
 Training is multiple-instance: a label belongs to a document, not to a window.
 The first round takes the window around each toxic document's most telling
 n-gram, later rounds the window that the network itself scores highest. It
-uses a bounded sample of labelled rows; scoring is one pass without a shuffle.
+uses a bounded sample of labelled rows and runs in one executor task, which
+returns the weights (under 4 MB); scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -316,13 +319,26 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for toxic, n in SAMPLE.items():
         part = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    # At most sum(SAMPLE.values()) rows of two numbers.
-    return docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    # At most sum(SAMPLE.values()) rows of two numbers; of rows that repeat a doc_id one text is taken.
+    own = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+
+
+def _fitted(batches):
+    """The whole sample, in one task, to one row: the pickled network, or null if there is nothing to learn."""
+    rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    net = train([text for _, text, _ in rows], [toxic for _, _, toxic in rows])
+    yield pa.record_batch([pa.array([net and pickle.dumps(net)], pa.binary())], ["net"])
+
 
+def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
+    """The pickled network. Only its weights come to the driver; the bounded sample goes to one executor task."""
+    rows = training_rows(docs, labels).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("toxic").cast("int"))
+    return rows.repartition(1).mapInArrow(lean(_fitted), "net binary").first()["net"]
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
-    rows = sorted(training_rows(docs, labels).collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+
+def _network(pickled: bytes | None) -> Network | None:
+    return pickle.loads(pickled) if pickled else None
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -332,25 +348,30 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     there is nothing to learn and every score is 0. Rows that repeat a doc_id
     are scored alike if their texts are; extra columns are ignored.
     """
-    net = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # a few MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # a few MB, whatever the input
 
     def run(batches):
-        yield from scorer(shared.value)(batches)
+        yield from scorer(_network(shared.value))(batches)
 
     out = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(_remainder() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are predicted toxic, in one pass over the texts."""
+    """``docs`` without the rows that are predicted toxic, in one pass over the texts.
+
+    Null, empty and blank texts stay, as does every row if there are no labels
+    of both classes. Repeated rows go or stay together; all columns of ``docs``
+    are returned as they are. No rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     place = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches):
+        net = _network(shared.value)
         for batch in batches:
             pair = pa.record_batch([batch.column(place[0]), batch.column(place[1])], ["doc_id", "text"])
-            for out in scorer(shared.value)([pair]):
+            for out in scorer(net)([pair]):
                 yield batch.filter(pa.array(out.column(1).to_numpy() < 0.5))
 
     return text_batches(docs).mapInArrow(lean(run), docs.schema)

@@ -13,13 +13,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, lean, scratch_root
+from .common import durable, lean, scratch_path
 
 DICTIONARY_MAGIC, SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 #: Ends a row: a skippable frame of one byte, which is the line end.
@@ -208,7 +207,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
 def archived(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     """Writes ``pages`` into archives in the shared folder and reads them back. No rows, no records."""
     spark = pages.sparkSession
-    path = f"{scratch_root(spark)}/colloq-{uuid.uuid4().hex}/warc"
+    path = scratch_path(spark)
     write_archives(pages, path, least_revisit)
     return read_archives(spark, path)
 

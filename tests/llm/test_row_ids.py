@@ -4,7 +4,7 @@ import collections
 
 import pytest
 
-from colloq.llm import block_names, common, entropy_mix
+from colloq.llm import bayes_dedup, block_names, common, entropy_mix
 
 SPLIT = "spark.sql.files.minPartitionNum"
 
@@ -45,3 +45,14 @@ def test_mix(spark, moving, split):
     mixed = entropy_mix.mix(docs)
     spark.conf.set(SPLIT, split)
     assert collections.Counter(r["doc_id"] for r in mixed.collect()) == want
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(i, f"word{i // 2} " * 5, "s", i, f"c{i}", i * 2.0) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _row long, `_copy` string, `a.b` double")
+    left = block_names.drop_exact_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(tuple(r) for r in left.collect()) == rows[::2]
+    mixed = entropy_mix.mix(docs)
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(rows)
+    assert sorted(tuple(r) for r in bayes_dedup.drop_near_duplicates(docs).collect()) == rows[::2]
