@@ -50,6 +50,21 @@ def tokens(df: DataFrame, text: str = "text", pattern: str = TOKEN, *keep: str)
     return rows.withColumn("end", end).select(*keep, "pos", (F.col("end") - F.length("x.h")).alias("start"), "end", F.col("x.h").alias("token"))
 
 
+def sentence_rows(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row per sentence: the kept columns, start, sentence. Linear in the sentences of a text; blank ones are left out."""
+    ends, pieces = F.regexp_extract_all(F.col(text), F.lit(f"({SENTENCE_END})"), F.lit(1)), F.split(F.col(text), SENTENCE_END, -1)
+    own = df.select(*keep, F.monotonically_increasing_id().alias("_row"), F.arrays_zip(pieces.alias("g"), ends.alias("h")).alias("_x"))
+    rows = own.select(*keep, "_row", F.posexplode("_x").alias("_pos", "x"))
+    before = F.sum(F.length("x.g") + F.coalesce(F.length("x.h"), F.lit(0))).over(Window.partitionBy("_row").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1))
+    cut = rows.select(*keep, F.coalesce(before, F.lit(0)).cast("int").alias("start"), F.regexp_replace("x.g", r"(?U)^\s+|\s+$", "").alias("sentence"))
+    return cut.where("sentence <> ''")
+
+
+def sentence_texts(text: Column) -> Column:
+    """Array of the sentences without their places."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END, -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
 def sentences(text: Column) -> Column:
     """Array of (start, sentence): pieces between sentence ends; blank pieces are left out."""
     ends = find_all(text, SENTENCE_END)
@@ -57,7 +72,7 @@ def sentences(text: Column) -> Column:
     def cut(e):
         starts = F.concat(F.array(F.lit(0)), F.transform(e, lambda x: x["end"]))
         stops = F.concat(F.transform(e, lambda x: x["start"]), F.array(F.length(text)))
-        whole = F.zip_with(starts, stops, lambda s, t: F.struct(s.alias("start"), F.trim(F.substring(text, s + 1, t - s)).alias("sentence")))
+        whole = F.zip_with(starts, stops, lambda s, t: F.struct(s.alias("start"), F.regexp_replace(F.substring(text, s + 1, t - s), r"(?U)^\s+|\s+$", "").alias("sentence")))
         return F.filter(whole, lambda x: x["sentence"] != "")
 
     return F.transform(F.array(ends), cut)[0]

@@ -107,6 +107,15 @@ def normalize_organization(c: Column) -> Column:
     return collapse_whitespace(normalize_alef(remove_diacritics(c)))
 
 
+def squeezed(c: Column) -> Column:
+    """Without diacritics and with one alef."""
+    return normalize_alef(remove_diacritics(c))
+
+
+def strip_space(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def srt_time(seconds: Column, mark: str = ",") -> Column:
     """HH:MM:SS,mmm with milliseconds rounded before they are split, so 59.9996 carries."""
     ms = F.round(seconds * 1000).cast("long")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import decibels
+from . import strategies
+from .intervals import speech_islands
 
 
 def frames(signals: DataFrame, key: str, size: int) -> DataFrame:
@@ -44,8 +47,9 @@ def quality(signals: DataFrame, key: str, rate: int = 16_000, frame_ms: int = 30
     return with_issues(out)
 
 
-def with_issues(metrics: DataFrame) -> DataFrame:
-    rules: list[tuple[str, Column]] = [("quiet", F.col("rms") < 0.001), ("noisy", F.col("snr_db") < 10), ("silent", F.col("silence_ratio") > 0.5), ("clipped", F.col("clipping_ratio") > 0.01)]
+def with_issues(metrics: DataFrame, rules: list[tuple[str, Column]] | None = None) -> DataFrame:
+    """Adds issues, the names of the rules that hold, and passes."""
+    rules = rules or [("quiet", F.col("rms") < 0.001), ("noisy", F.col("snr_db") < 10), ("silent", F.col("silence_ratio") > 0.5), ("clipped", F.col("clipping_ratio") > 0.01)]
     found = F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules]))
     return metrics.withColumn("issues", found).withColumn("passes", F.size("issues") == 0)
 
@@ -59,3 +63,54 @@ def speech_only(signals: DataFrame, segments: DataFrame, key: str, rate: int = 1
     s = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("segs"))
     piece = lambda x: F.slice(F.col("samples"), (x["start"] * rate).cast("int") + 1, F.greatest(F.lit(0), ((x["end"] - x["start"]) * rate).cast("int")))
     return signals.join(s, key).select(key, F.flatten(F.transform("segs", piece)).alias("samples"))
+
+
+def energy_segments(signals: DataFrame, key: str, rate: int = 16_000, frame_ms: int = 30, threshold: float = -35.0, least_speech_ms: int = 250, least_silence_ms: int = 200, adaptive: bool = True) -> DataFrame:
+    """(key, seg, start, end) in seconds of the speech in signals (key, samples), by the level of frames.
+
+    The threshold is that of :func:`voice_thresholds`, or ``threshold`` itself.
+    Pauses under ``least_silence_ms`` do not part speech, speech under
+    ``least_speech_ms`` is none. A signal shorter than a frame has no speech.
+    """
+    size = rate * frame_ms // 1000
+    levels = frame_levels(frames(signals, key, size))
+    if adaptive:
+        levels = levels.join(voice_thresholds(levels, key, fixed=threshold), key)
+    else:
+        levels = levels.withColumn("threshold", F.lit(threshold))
+    on = levels.select(key, F.col("frame").cast("long").alias("frame"), (F.col("db") >= F.col("threshold")).alias("speech"))
+    runs = speech_islands(on, [key], max(1, least_speech_ms // frame_ms), max(1, least_silence_ms // frame_ms))
+    seconds = size / rate
+    order = F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1
+    return runs.select(key, (F.col("start") * seconds).alias("start"), (F.col("end") * seconds).alias("end")).withColumn("seg", order)
+
+
+strategies.register("vad", "energy", energy_segments)
+
+
+def speech_segments(signals: DataFrame, key: str, method: str = "energy", **options) -> DataFrame:
+    """The speech that the named detector finds; a detector whose model is missing gives way to the energy rule."""
+    return strategies.get("vad", method)(signals, key, **options)
+
+
+def total_speech(segments: DataFrame, key: str) -> DataFrame:
+    return segments.groupBy(key).agg(F.round(F.sum(F.col("end") - F.col("start")), 3).alias("total_speech"), F.count("*").alias("n_segments"))
+
+
+def reports(signals: DataFrame, key: str, rate: int = 16_000, method: str = "energy") -> DataFrame:
+    """One row per signal (key, samples, error or not): duration, its quality, speech, speech_ratio, status, warnings."""
+    fine = signals.where("error is null") if "error" in signals.columns else signals
+    q, speech = quality(fine, key, rate), total_speech(speech_segments(fine, key, method, rate=rate), key)
+    error = F.col("error") if "error" in signals.columns else F.lit(None).cast("string")
+    out = signals.select(key, error.alias("error"), (F.greatest(F.size("samples"), F.lit(0)) / rate).alias("duration")).join(q, key, "left").join(speech, key, "left").fillna(0, ["total_speech", "n_segments"])
+    out = out.withColumn("speech_ratio", F.when(F.col("duration") > 0, F.round(F.col("total_speech") / F.col("duration"), 4)).otherwise(0.0))
+    more = F.when(F.col("n_segments") == 0, "no speech").when(F.col("speech_ratio") < 0.1, F.concat(F.lit("little speech ("), F.round(100 * F.col("speech_ratio")).cast("int").cast("string"), F.lit("%)")))
+    warnings = F.when(F.col("error").isNull(), F.array_compact(F.concat(F.coalesce("issues", F.array().cast("array<string>")), F.array(more)))).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("warnings", warnings).withColumn("status", report_status(F.col("error"), F.col("warnings"), F.col("speech_ratio")))
+
+
+def embedded(signals: DataFrame, segments: DataFrame, key: str, rate: int = 16_000, method: str = "mfcc") -> DataFrame:
+    """(key, seg, start, end, embedding) of the segments (key, seg, start, end): each one's samples are cut out and embedded in Arrow batches."""
+    at, n = (F.col("start") * rate).cast("int"), ((F.col("end") - F.col("start")) * rate).cast("int")
+    cut = segments.select(key, "seg", "start", "end").join(signals.select(key, "samples"), key).select(key, "seg", "start", "end", F.slice("samples", at + 1, F.greatest(n, F.lit(0))).alias("samples"))
+    return cut.select(key, "seg", "start", "end", strategies.get("embedding", method)(F.col("samples"), F.lit(rate)).alias("embedding"))

@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 
 from ..functions import spans, vectors
 from ..functions import text as tx
-from ..operators import audio, graph, intervals, kernels, language, records
-from ..sources import exports, files
+from ..operators import analysis, audio, graph, intervals, kernels, language, records
+from ..shared import numbered_in_order
+from ..sources import exports, files, stores
 from ..streaming import live
 
 QUERIES: dict = {}
@@ -110,8 +111,8 @@ def clip_filter(spark, d):
 @query("""SELECT doc_id, n_chars < 200 AS quiet, concat_ws(',', CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN n_chars > 5000 THEN 'long' END,
   CASE WHEN text LIKE '%$$$%' THEN 'junk' END) AS issues FROM documents""")
 def quality_rules(spark, d):
-    rules = [(F.col("n_chars") < 200, "short"), (F.col("n_chars") > 5000, "long"), (F.col("text").contains("$$$"), "junk")]
-    return t(spark, d, "documents").select("doc_id", (F.col("n_chars") < 200).alias("quiet"), F.concat_ws(",", F.array_compact(F.array(*[F.when(c, n) for c, n in rules]))).alias("issues"))
+    rules = [("short", F.col("n_chars") < 200), ("long", F.col("n_chars") > 5000), ("junk", F.col("text").contains("$$$"))]
+    return audio.with_issues(t(spark, d, "documents"), rules).select("doc_id", (F.col("n_chars") < 200).alias("quiet"), F.concat_ws(",", "issues").alias("issues"))
 
 
 @query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(text, '[!"#$%&''()*+,./:;<=>?@^_`{|}~\[\]\\-]', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM benchmark""")
@@ -182,7 +183,7 @@ def full_text(spark, d):
 
 @query(f"WITH {WORDS} SELECT type, token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM hits GROUP BY 1, 2")
 def entity_groups(spark, d):
-    return hits(spark, d).groupBy("type", "token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return language.entity_totals(hits(spark, d).withColumnRenamed("token", "normalized"), "doc_id").select("type", F.col("normalized").alias("token"), "n", F.col("calls").alias("docs"))
 
 
 @query(f"WITH {WORDS}, g AS (SELECT substr(token, 1, 4) AS stem, token, count(*) AS n FROM hits GROUP BY 1, 2), r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY stem) AS BIGINT) AS mentions, row_number() OVER (PARTITION BY stem ORDER BY length(token) DESC, token DESC) AS k FROM g) SELECT stem, token AS canonical, mentions FROM r WHERE k = 1")
@@ -192,7 +193,7 @@ def coref_canonical(spark, d):
 
 @query(f"WITH {WORDS}, g AS (SELECT doc_id, token AS stem, count(*) AS n FROM words WHERE length(token) >= 3 AND token NOT IN ('the', 'and', 'der', 'die', 'les', 'que') GROUP BY 1, 2), r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, stem) AS rank FROM g) SELECT doc_id, stem, n, total, rank FROM r WHERE rank <= 5")
 def keyword_tf(spark, d):
-    k = language.keywords(words(spark, d), "doc_id", ["the", "and", "der", "die", "les", "que"], lambda c: c, top=5)
+    k = language.keywords(words(spark, d), "doc_id", ["the", "and", "der", "die", "les", "que"], lambda c: c, top=5, by_score=False, places=0)
     return k.select("doc_id", "stem", "n", "total", F.col("rank").cast("long").alias("rank"))
 
 
@@ -266,8 +267,7 @@ SELECT ev.call_id, ev.pos, off.idx FROM ev LEFT JOIN off ON ev.call_id = off.cal
 def event_segment(spark, d):
     s = language.character_offsets(segments(spark, d), "call_id", "idx").select("call_id", "idx", "at", "until")
     ev = s.groupBy("call_id").agg(F.max("until").alias("m")).select("call_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / 100))).alias("k")).select("call_id", (F.col("k") * 100).alias("pos"))
-    o = s.withColumnRenamed("call_id", "c")
-    return ev.join(o, (F.col("call_id") == F.col("c")) & (F.col("pos") >= F.col("at")) & (F.col("pos") < F.col("until")), "left").select("call_id", "pos", "idx")
+    return intervals.event_segments(ev, s, "call_id", "pos")
 
 
 @query(f"WITH {WORDS} SELECT doc_id, pos, token, type FROM hits")
@@ -309,14 +309,28 @@ def who_met_whom(spark, d):
 
 @query("SELECT DISTINCT c_custkey AS person FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority LIKE '1%'")
 def persons_at_location(spark, d):
-    direct = t(spark, d, "customer").join(t(spark, d, "nation").where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("person"))
-    return direct.unionByName(t(spark, d, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("person"))).distinct()
+    """Customers live in a region; orders of the first priority are events in region 1, their customers the actors."""
+    person = lambda c: F.concat(F.lit("Person:"), F.col(c).cast("string"))
+    edge = lambda df, source, target, kind: df.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("type"))
+    lives = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = t(spark, d, "orders").where(F.col("o_orderpriority").startswith("1"))
+    event = F.concat(F.lit("Event:"), F.col("o_orderkey").cast("string"))
+    edges = edge(lives, person("c_custkey"), F.concat(F.lit("Location:"), F.col("n_regionkey").cast("string")), "LIVES_IN")
+    edges = edges.unionByName(edge(orders, event, F.lit("Location:1"), "OCCURRED_AT")).unionByName(edge(orders, event, person("o_custkey"), "HAS_ACTOR"))
+    return graph.persons_at(edges, "Location:1").select(F.substring_index("person", ":", -1).cast("long").alias("person"))
 
 
 @query("SELECT o_custkey AS person, o_orderkey AS event, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS places, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
 def person_timeline(spark, d):
+    """Orders are events of their customer; the return flags of their lines are the places."""
     j = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return j.groupBy(F.col("o_custkey").alias("person"), F.col("o_orderkey").alias("event")).agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("places"), F.count("*").alias("n"))
+    event = F.concat(F.lit("Event:"), F.col("o_orderkey").cast("string"))
+    acts = t(spark, d, "orders").select(event.alias("source"), F.concat(F.lit("Person:"), F.col("o_custkey").cast("string")).alias("target"), F.lit("HAS_ACTOR").alias("type"))
+    there = j.select(event.alias("source"), F.concat(F.lit("Location:"), "l_returnflag").alias("target"), F.lit("OCCURRED_AT").alias("type"))
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("event")).agg(F.count("*").alias("n"))
+    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    out = graph.timelines(acts.unionByName(there)).select(number("person").alias("person"), number("event").alias("event"), F.array_join(F.transform("locations", lambda x: F.substring_index(x, ":", -1)), ",").alias("places"))
+    return out.join(lines, "event").select("person", "event", "places", "n")
 
 
 @query(f"WITH {EDGES} SELECT source, target, type, n FROM edges WHERE target IN (SELECT 'Person:s' || s_suppkey FROM supplier WHERE s_nationkey < 12) AND source IN (SELECT 'Person:c' || c_custkey FROM customer)")
@@ -440,7 +454,7 @@ def merge_manifests(spark, d):
 @query("SELECT conv_id AS call_id FROM conversations UNION SELECT doc_id FROM labels UNION SELECT page_id FROM pages")
 def call_ids(spark, d):
     one = lambda n, c: t(spark, d, n).select(F.col(c).alias("call_id"))
-    return one("conversations", "conv_id").unionByName(one("labels", "doc_id")).unionByName(one("pages", "page_id")).distinct()
+    return stores.call_ids(one("conversations", "conv_id"), one("labels", "doc_id"), one("pages", "page_id"))
 
 
 @query(f"WITH {EDGES} SELECT node, CAST(count(*) AS BIGINT) AS degree, count(DISTINCT other) AS neighbors FROM (SELECT source AS node, target AS other FROM edges UNION ALL SELECT target, source FROM edges) GROUP BY 1")
@@ -464,7 +478,7 @@ def phones(spark, d):
 
 @query(r"WITH p AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]+\s+|\n+')) AS s FROM documents) SELECT doc_id, count(*) AS n, CAST(sum(length(trim(s))) AS BIGINT) AS chars FROM p WHERE trim(s) <> '' GROUP BY 1")
 def sentences(spark, d):
-    s = t(spark, d, "documents").select("doc_id", F.inline(spans.sentences(F.col("text"))))
+    s = t(spark, d, "documents").select("doc_id", F.explode(spans.sentence_texts(F.col("text"))).alias("sentence"))
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("chars"))
 
 
@@ -485,11 +499,17 @@ def verb_counts(spark, d):
 # Metrics
 
 
+def _pairs(spark, d) -> DataFrame:
+    """Each benchmark text as the reference of the next one: numbers in order are joined, so no window holds the table."""
+    n = numbered_in_order(t(spark, d, "benchmark").select("item_id", F.lower("text").alias("text")), ["item_id"], "n")
+    after = n.select((F.col("n") - 1).alias("n"), F.col("text").alias("hyp"))
+    return n.withColumnRenamed("text", "ref").join(after, "n", "left").select("item_id", "ref", "hyp")
+
+
 @query("""WITH p AS (SELECT item_id, lower(text) AS ref, lead(lower(text)) OVER (ORDER BY item_id) AS hyp FROM benchmark)
 SELECT item_id, CAST(levenshtein(ref, hyp) AS BIGINT) AS distance FROM p WHERE hyp IS NOT NULL AND regexp_full_match(ref, '[ -~]*') AND regexp_full_match(hyp, '[ -~]*')""")
 def cer_total(spark, d):
-    w = Window.orderBy("item_id")  # forty rows
-    p = t(spark, d, "benchmark").select("item_id", F.lower("text").alias("ref"), F.lead(F.lower("text")).over(w).alias("hyp"))
+    p = _pairs(spark, d)
     plain = lambda c: F.col(c).rlike("^[ -~]*$")
     return p.where(F.col("hyp").isNotNull() & plain("ref") & plain("hyp")).select("item_id", F.levenshtein("ref", "hyp").cast("long").alias("distance"))
 
@@ -497,8 +517,7 @@ def cer_total(spark, d):
 @query()
 def cer_all(spark, d):
     """cer_total over all pairs: accents and line breaks count as one character each, which DuckDB's byte-wise levenshtein cannot tell."""
-    w = Window.orderBy("item_id")  # two hundred rows
-    p = t(spark, d, "benchmark").select("item_id", F.lower("text").alias("ref"), F.lead(F.lower("text")).over(w).alias("hyp"))
+    p = _pairs(spark, d)
     return p.where("ref is not null and hyp is not null").select("item_id", F.levenshtein("ref", "hyp").cast("long").alias("distance"))
 
 
@@ -588,12 +607,15 @@ def cluster_spectral(spark, d):
 # Signals
 
 
+def _customer_signals(spark, d) -> DataFrame:
+    x = F.transform(F.sequence(F.lit(0), F.lit(959)), lambda i: F.when((F.col("c_custkey") % 3 == 0) & (i >= 480), 0.0).otherwise(((F.col("c_custkey") * 7 + i * 13) % 101 - 50).cast("double") / 64))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), x.alias("samples"))
+
+
 @query("""WITH x AS (SELECT c_custkey AS id, i, CASE WHEN c_custkey % 3 = 0 AND i >= 480 THEN 0.0 ELSE CAST((c_custkey * 7 + i * 13) % 101 - 50 AS DOUBLE) / 64 END AS v FROM customer, (SELECT unnest(range(0, 960)) AS i))
 SELECT id, i // 160 AS frame, CAST(round(sqrt(sum(v * v) / 160) * 1000000) AS BIGINT) AS micro_rms FROM x GROUP BY 1, 2""")
 def frame_rms(spark, d):
-    x = F.transform(F.sequence(F.lit(0), F.lit(959)), lambda i: F.when((F.col("c_custkey") % 3 == 0) & (i >= 480), 0.0).otherwise(((F.col("c_custkey") * 7 + i * 13) % 101 - 50).cast("double") / 64))
-    s = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), x.alias("samples"))
-    return audio.frames(s, "id", 160).select("id", F.col("frame").cast("long").alias("frame"), F.round(F.col("rms") * 1000000).cast("long").alias("micro_rms"))
+    return audio.frames(_customer_signals(spark, d), "id", 160).select("id", F.col("frame").cast("long").alias("frame"), F.round(F.col("rms") * 1000000).cast("long").alias("micro_rms"))
 
 
 @query("SELECT o_custkey AS id, CAST(round(CASE WHEN quantile_cont(o_totalprice, 0.95) - quantile_cont(o_totalprice, 0.25) < 10 THEN 100000 ELSE least(quantile_cont(o_totalprice, 0.25) + 6, 100000) END) AS BIGINT) AS level FROM orders GROUP BY 1")
@@ -604,7 +626,8 @@ def vad_threshold(spark, d):
 
 @query()
 def signal_quality(spark, d):
-    return audio.quality(files.made_signals(spark, 60), "id")
+    """Customers' signals, of two frames each."""
+    return audio.quality(_customer_signals(spark, d), "id")
 
 
 # Graphs
@@ -619,43 +642,35 @@ def components(spark, d):
     return graph.components(_narrow_edges(spark, d))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS c, 's' || l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+b AS (SELECT c AS x, s AS y FROM e UNION ALL SELECT s, c FROM e),
+r(node, component) USING KEY (node) AS (SELECT x, x FROM b GROUP BY x UNION SELECT b.x, min(r.component) FROM r JOIN b ON r.node = b.y JOIN recurring.r AS old ON old.node = b.x GROUP BY b.x, old.component HAVING min(r.component) < old.component)
+SELECT node, component FROM r""")
 def components_all(spark, d):
-    """Components over all order-lineitem edges; too slow for a recursive oracle."""
+    """Components over all order-lineitem edges."""
     return graph.components(_purchase_edges(spark, d))
 
 
 def _purchase_edges(spark, d) -> DataFrame:
     """One edge for each customer and supplier that share a line item."""
     j = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    _checkpoints(spark)
     return j.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target")).distinct()
 
 
 def _narrow_edges(spark, d) -> DataFrame:
     """Edges of one purchase group: customers and suppliers of every fifth number with large line items."""
     j = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_custkey % 5 = 0 and l_suppkey % 5 = 0 and l_quantity > 48")
-    _checkpoints(spark)
     return j.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target")).distinct()
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """Uses the session's shared folder; one of our own only if it names none."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloq-"))
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 b AS (SELECT 'c' || c AS x, 's' || s AS y FROM e UNION SELECT 's' || s, 'c' || c FROM e),
 r AS (SELECT 's1' AS node, 0 AS distance UNION SELECT b.y, r.distance + 1 FROM r JOIN b ON r.node = b.x WHERE r.distance < 4)
 SELECT node, CAST(min(distance) AS INT) AS distance FROM r GROUP BY 1""")
 def bfs_distance(spark, d):
     j = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    _checkpoints(spark)
     e = j.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target")).distinct()
-    return graph.distances(e, F.col("node") == "s1", 4)
+    return graph.distances(e, F.col("node") == "s1", 4).select("node", "distance")
 
 
 @query()
@@ -693,13 +708,6 @@ def events_full(spark, d):
 
 @query()
 def kg_build(spark, d):
-    c = _call(spark).withColumn("key", F.concat_ws("|", "call_id", "idx"))
-    ents = language.entities(c, "key")
-    call = F.split("key", r"\|")[0].alias("call_id")
-    evs = language.events(c, ents, "key")
-    tr = language.triples(evs, "key").select(call, "subject", "relation", "object")
-    at = language.character_offsets(c, "call_id", "idx").select("key", "speaker_id", "at")
-    placed = evs.join(at, "key").withColumn("sentence_start", F.col("at") + F.col("sentence_start")).select(call, "speaker_id", "sentence_start", "sentence", "action", "actors", "locations", "times")
     watched = spark.createDataFrame([("الشحنة", "")], "term string, note string")
-    hits = language.watchlist_hits(c, language.watchlist_terms(watched), "key").select(call, "term")
-    return graph.calls_to_graph(ents.select(call, "type", "normalized", "text", "start"), tr, _call(spark), placed, hits)[1]
+    calls = _call(spark)
+    return analysis.call_graph(calls, analysis.calls_analysed(calls, watched))[1].drop("props")
