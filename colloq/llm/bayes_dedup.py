@@ -149,12 +149,12 @@ def _likely(x: bytes, y: bytes, cuts: list[tuple[int, int]]) -> bool:
 def _pairs(percent: int, cuts: list[tuple[int, int]]):
     def run(batches):
         for batch in batches:
-            a, b, sa, sb, xa, xb = (batch.column(i).to_pylist() for i in range(6))
+            a, b, sa, xa, sb, xb = (batch.column(i).to_pylist() for i in range(6))
             keep = []
             for r in range(len(a)):
                 if _likely(sa[r], sb[r], cuts) and _linked(np.frombuffer(xa[r], np.uint64), np.frombuffer(xb[r], np.uint64), percent):
                     keep.append(r)
-            yield pa.record_batch([pa.array([a[r] for r in keep], pa.int64()), pa.array([b[r] for r in keep], pa.int64())], ["a", "b"])
+            yield edge_batch([(a[r], b[r]) for r in keep])
 
     return run
 
@@ -240,14 +240,15 @@ def _tile_links(tile: np.ndarray, comp: np.ndarray, sig: list[bytes], sets: list
     return out
 
 
-def _tiles(percent: int, cuts: list[tuple[int, int]]):
-    """Rows (key, ta, tb, tile, comp, sig, shingles) sorted by (key, ta, tb): a group may span batches."""
+def tiles_links(percent: int, cuts: list[tuple[int, int]], unpack: Callable):
+    """Rows (key, ta, tb, tile, comp, body...) sorted by (key, ta, tb): a group may span batches. ``unpack`` gives bodies' signatures and sets."""
 
     def links(rows):
         tile, comp = np.array([r[3] for r in rows]), np.array([r[4] for r in rows], np.int64)
         if comp.min() == comp.max():
             return []
-        return _tile_links(tile, comp, [r[5] for r in rows], [r[6] for r in rows], rows[0][1] != rows[0][2], percent, cuts)
+        sig, sets = unpack([r[5:] for r in rows])
+        return _tile_links(tile, comp, sig, sets, rows[0][1] != rows[0][2], percent, cuts)
 
     def run(batches):
         held: list[tuple] = []
@@ -258,14 +259,14 @@ def _tiles(percent: int, cuts: list[tuple[int, int]]):
                     out += links(held)
                     held = []
                 held.append(row)
-            yield _edges(out)
+            yield edge_batch(out)
         if held:
-            yield _edges(links(held))
+            yield edge_batch(links(held))
 
     return run
 
 
-def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
+def edge_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
@@ -289,45 +290,49 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS,
 
 def _components_of(texts: DataFrame, classes: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
     """(node, component) over the classes that share a band with another."""
+    members = bucket_members(classes.select("rep", F.explode("bands").alias("key")))
+    own = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bodies = durable(own.mapInArrow(lean(_verifiable(words)), "doc_id long, sig binary, shingles binary").withColumnRenamed("doc_id", "rep"))
+    cuts = _cuts(percent)
+    unpack = lambda rows: ([r[0] for r in rows], [r[1] for r in rows])
+    return banded_components(members, bodies, _pairs(percent, cuts), tiles_links(percent, cuts, unpack), tile)
 
-    def sets(need: DataFrame) -> DataFrame:
-        own = texts.join(need.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return own.mapInArrow(lean(_verifiable(words)), "doc_id long, sig binary, shingles binary").withColumnRenamed("doc_id", "rep")
 
-    return banded_components(classes.select("rep", F.explode("bands").alias("key")), sets, percent, tile, _cuts(percent))
+def bucket_members(bands: DataFrame) -> DataFrame:
+    """(key, size, lead, rep) of the buckets with several members, from ``bands`` (key, rep), where a pair may repeat.
 
-
-def banded_components(bands: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, tile: int, cuts: list[tuple[int, int]]) -> DataFrame:
-    """(node, component) from ``bands`` (key, rep), where a pair of rows may repeat.
-
-    ``sets`` gives (rep, sig, shingles) for a table of those reps that are
-    candidates; ``cuts`` are the signature batches and the matches they need
-    (none: every candidate is compared exactly, and sig may be empty).
+    Buckets with the same members are one bucket; the lead is its least member.
     """
     hot = durable(bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead != top").select("key", "lead"))
     every = durable(bands.join(hot, "key").select("key", "lead", "rep").distinct())
-    # Buckets with the same members are one bucket.
     same = every.groupBy("key").agg(F.count("*").alias("size"), F.min("lead").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("print"))
     same = durable(same.groupBy("size", "first", "print").agg(F.min("key").alias("key")).select("key", "size"))
-    members = durable(every.join(same, "key"))
-    need = durable(members.select("rep").distinct())
-    shingled = durable(sets(need))
-    a = shingled.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("shingles").alias("xa"))
-    b = shingled.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("shingles").alias("xb"))
+    return durable(every.join(same, "key"))
+
+
+def banded_components(members: DataFrame, bodies: DataFrame, pairs: Callable, tiles: Callable, tile: int) -> DataFrame:
+    """(node, component) over the members of buckets (:func:`bucket_members`).
+
+    ``bodies`` has (rep, body...) for each member. ``pairs`` verifies rows
+    (a, b, a's body..., b's body...), ``tiles`` those of :func:`tiles_links`;
+    both are Arrow functions that return links (a, b).
+    """
+    body = [c for c in bodies.columns if c != "rep"]
+    side = lambda name: bodies.select(F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in body])
     first = durable(members.where("rep != lead").groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")))
-    near = first.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "xa", "xb")
-    labels = durable(connected_components(near.mapInArrow(lean(_pairs(percent, cuts)), "a long, b long")))
+    near = first.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{name}" for name in "ab" for c in body])
+    labels = durable(connected_components(near.mapInArrow(lean(pairs), "a long, b long")))
     # What is left: buckets with more than one component.
     placed = durable(members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("comp")))
     mixed = durable(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key"))
-    tiles = F.ceil(F.col("size") / tile).cast("int")
-    left = placed.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(7)), tiles).cast("int"))
-    left = left.select("key", "rep", "comp", "tile", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    n = F.ceil(F.col("size") / tile).cast("int")
+    left = placed.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(7)), n).cast("int"))
+    left = left.select("key", "rep", "comp", "tile", F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
     left = left.select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "comp", "rep")
-    left = left.join(shingled, "rep").select("key", "ta", "tb", "tile", "comp", "sig", "shingles")
+    left = left.join(bodies, "rep").select("key", "ta", "tb", "tile", "comp", *body)
     left = left.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
-    more = durable(connected_components(left.mapInArrow(lean(_tiles(percent, cuts)), "a long, b long")).withColumnRenamed("component", "root"))
-    nodes = need.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("n"), F.coalesce("component", "rep").alias("c"))
+    more = durable(connected_components(left.mapInArrow(lean(tiles), "a long, b long")).withColumnRenamed("component", "root"))
+    nodes = members.select("rep").distinct().join(labels, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("n"), F.coalesce("component", "rep").alias("c"))
     return durable(nodes.join(more, F.col("c") == F.col("node"), "left").select(F.col("n").alias("node"), F.coalesce("root", "c").alias("component")))
 
 

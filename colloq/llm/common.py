@@ -1,12 +1,10 @@
-"""Shared pieces: durable intermediate tables, text buffers, word hashes."""
+"""Shared pieces: tables, columns, text buffers, word hashes."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import clear_scratch, durable, forget, release, scratch_path, scratch_root  # noqa: F401 - for the modules of this folder
+
 #: White space that separates words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -29,52 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch that carries whole texts; Spark's own 10,000 take tens of MB in each worker and its JVM.
-TEXT_ROWS = 1000
+#: Rows and bytes of an Arrow batch that carries whole texts; Spark's own 10,000 rows take tens of MB in each worker and its JVM.
+TEXT_ROWS, TEXT_BYTES = 1000, 16 << 20
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """``df`` after lowering the session's Arrow batch, for operators that hand whole texts to Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= TEXT_ROWS:
-        df.sparkSession.conf.set(name, str(TEXT_ROWS))
-    return df
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate results.
+    """``df`` after lowering the session's Arrow batches, for operators that hand whole texts to Python.
 
-    A local folder is made only where driver and executors are one process;
-    elsewhere a missing folder is an error, as executors would each write to
-    their own disk.
+    Spark reads these settings when a plan runs, so they have to stay; limits
+    that the caller has set lower are kept.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = chosen.get() if chosen.isDefined() else None
-    if not found:
-        if not spark.sparkContext._jsc.sc().isLocal():
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="colloq-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession) -> str:
-    """A new path below the folder of this application."""
-    return f"{scratch_root(spark)}/colloq-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once into the shared folder and reads it back.
-
-    This cuts the lineage: a lost executor costs the running tasks only, and
-    the table has exact sizes for the planner. Values that depend on where a
-    row ran (generated row ids) are fixed from here on.
-    """
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        own = conf.get(name, None)
+        if own is None or not own.isdigit() or not 0 < int(own) <= most:
+            conf.set(name, str(most))
+    return df
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -95,13 +65,6 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return durable(df.withColumn(name, F.monotonically_increasing_id()))
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what this application has left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/colloq-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def lean(run):
     """Arrow function ``run`` that hands freed memory back to the system at a task's end, as workers are used again."""
 

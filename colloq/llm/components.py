@@ -1,43 +1,5 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components of links between documents or lines."""
 
-Every step is a grouped minimum (combined before the shuffle) and a join with
-one row per node on the smaller side, so a node with very many neighbours is
-split by adaptive skew joins and is never gathered in one task. The edges of
-each round are written to the shared folder; no link reaches the driver, only
-a count and a checksum that show when nothing changes any more.
-"""
+from ..operators.graph import connected as connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import durable
-
-
-def _print_of(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
-
-
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """Rows (node, component) for every node of an edge; component is the smallest node reachable.
-
-    Self links, repeated links and either direction are allowed; rows with a
-    null end are ignored. Without edges the result is empty.
-    """
-    a, b = F.col(left), F.col(right)
-    edges = durable(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    seen = _print_of(edges)
-    while seen[0]:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = durable(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
-        least = durable(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = _print_of(edges)
-        if now == seen:
-            break
-        seen = now
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+__all__ = ["connected_components"]

@@ -1,17 +1,23 @@
 """Fuzzy duplicate lines by MinHash over character shingles.
 
-Lines are compared as sets of character 5-grams. A one-permutation MinHash
-signature (one hash for each shingle, the least in each bin) is banded for
-candidates; every candidate is verified by its exact Jaccard similarity, and
-distributed union-find joins them; the first line of each component stays.
-Hashes of a short line repeat one another (empty bins borrow), so the count of
-equal hashes is no binomial and no candidate is dropped by it.
-Lines with equal sets are one node from the start.
+Lines are compared as sets of character 5-grams. One pass gives each line a
+128-bit key of its text and each distinct text a one-permutation MinHash
+signature (one hash for each shingle, the least in each bin), which is banded
+for candidates. Every candidate is verified by its exact Jaccard similarity,
+and distributed union-find joins them; the first line of each component stays.
+Equal lines are one node from the start. Hashes of a short line repeat one
+another (empty bins borrow), so the count of equal hashes is no binomial and no
+candidate is dropped by it; only pairs whose sets differ too much in size are.
+
+Scale: band rows of two numbers are the largest table that is shuffled. Keys
+that a fixed share of the lines has in common are found on a hashed sixty-fourth
+of the lines and never shuffled, so no task gathers a frequent key. Texts of
+candidates alone are shuffled once more, as text (a set of hashes would take
+eight times as much).
 
 This operator does not use DataFrame functions alone: hashing every character
-shingle with SQL higher-order functions costs more CPU time than the whole
-operator may take (the README has the figures), so signatures are made with
-numpy in Arrow batches.
+shingle with SQL functions costs more CPU time than the whole operator may take
+(the README has the figures), so signatures are made with numpy in Arrow batches.
 """
 
 from __future__ import annotations
@@ -23,125 +29,201 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bayes_dedup import banded_components
-from .common import durable, lean, mix, powers, text_batches
+from .bayes_dedup import _linked, banded_components, bucket_members, edge_batch, tiles_links
+from .common import Generations, durable, lean, mix, release, text_batches
 
 #: Characters in a shingle; bands and rows of the signature; links need 100 * intersection >= PERCENT * union.
 CHARS, BANDS, ROWS, PERCENT, TILE = 5, 12, 5, 80, 192
 HASHES = BANDS * ROWS
-#: Characters of text that numpy handles at once.
-AT_ONCE = 1 << 18
-_CHAR = np.uint64(0x9E3779B97F4A7C15)
-
+#: Characters of text that numpy handles at once, and texts that a worker remembers to have signed.
+AT_ONCE, REMEMBERED = 1 << 17, 200_000
+#: Lines on which frequent band keys are looked for (one in so many), and the most such keys.
+SAMPLED, MOST_FREQUENT = 64, 2048
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.uint64((1 << 44) - 1)
 
-def _line_sets(texts: list[str | None]):
-    """Yields (row, line number, characters, sizes, shingle hashes) for runs of rows.
 
-    Per line: its row, its number, its characters, the size of its set; the
-    sets follow one another, sorted. White space at a line's ends does not
-    count; blank lines have no shingles; shorter lines are one shingle.
-    """
+def _runs(lines: list[str]):
+    """Slices of ``lines`` of about AT_ONCE characters, and of under 2**20 lines."""
     at = 0
-    while at < len(texts):
+    while at < len(lines):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") < AT_ONCE):
-            size += len(texts[end] or "")
+        while end < len(lines) and end - at < 1 << 20 and (end == at or size + len(lines[end]) < AT_ONCE):
+            size += len(lines[end])
             end += 1
-        lines, row, number = [], [], []
-        for r in range(at, end):
-            own = [x.strip(" \t\x0b\x0c\r") for x in (texts[r] or "").split("\n")]
-            lines += own
-            row += [r] * len(own)
-            number += range(len(own))
-        n = np.array([len(x) for x in lines], np.int64)
-        code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        many = np.where(n >= CHARS, n - CHARS + 1, (n > 0).astype(np.int64))
-        width = np.repeat(np.minimum(n, CHARS), many)
-        first = np.cumsum(n) - n
-        place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-        up, down = powers(len(code) + 1)
-        total = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum(mix(code * _CHAR) * up[: len(code)], out=total[1:])
-        h = mix((total[place + width] - total[place]) * down[place] + width.astype(np.uint64))
-        # One sort by (line, hash); the line is in the upper bits, so 44 bits order the hashes within it.
-        line = np.repeat(np.arange(len(lines)), many)
-        order = np.lexsort((h, line)) if len(lines) >> 20 else np.argsort(line.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
-        h = h[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        sizes = np.bincount(line[fresh], minlength=len(lines))
-        yield np.array(row), np.array(number), n, sizes, h[fresh]
+        yield at, lines[at:end]
         at = end
 
 
-def _keys(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set, 0 for the empty one."""
-    ends, raw, out = np.cumsum(sizes), h.tobytes(), np.zeros(len(sizes), np.int64)
-    for i in np.flatnonzero(sizes):
-        out[i] = int.from_bytes(hashlib.blake2b(raw[8 * (ends[i] - sizes[i]) : 8 * ends[i]], digest_size=8).digest(), "little", signed=True)
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of every shingle of non-empty lines, repeats included; a shorter line is one shingle."""
+    n = np.array([len(x) for x in lines], np.int64)
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code += np.uint64(1)
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), n)
+    if len(code) >= CHARS:
+        h = code[: len(code) - CHARS + 1].copy()
+        for k in range(1, CHARS):
+            h *= _BASE
+            h += code[k : len(code) - CHARS + 1 + k]
+        whole = line[: len(h)] == line[CHARS - 1 :]
+        h, own = mix(h[whole]), line[: len(h)][whole]
+    else:
+        h, own = np.zeros(0, np.uint64), line[:0]
+    short = np.flatnonzero((n < CHARS) & (n > 0))
+    if len(short):
+        first, tails = np.cumsum(n) - n, []
+        for i in short:
+            value = int(n[i]) << 32
+            for x in code[first[i] : first[i] + n[i]].tolist():
+                value = (value * int(_BASE) + x) & 0xFFFFFFFFFFFFFFFF
+            tails.append(value)
+        h, own = np.concatenate([h, mix(np.array(tails, np.uint64))]), np.concatenate([own, short.astype(np.uint64)])
+    return own, h
+
+
+def _sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    out: list[np.ndarray] = []
+    for _, part in _runs(lines):
+        own, h = _hashes(part)
+        order = np.lexsort((h, own))
+        own, h = own[order], h[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+        bounds = np.searchsorted(own[fresh], np.arange(len(part) + 1, dtype=np.uint64))
+        h = h[fresh]
+        out += [h[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
     return out
 
 
-def _signatures(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """One-permutation signatures of the non-empty sets; an empty bin takes the next full one's value, turned by the distance."""
-    sizes = sizes[sizes > 0]
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    bins = ((h >> np.uint64(32)) * np.uint64(HASHES) >> np.uint64(32)).astype(np.int64)
-    cell = line * HASHES + bins
-    lead = np.ones(len(cell), bool)
-    lead[1:] = cell[1:] != cell[:-1]  # sets are sorted, so a bin's first is its least
-    value = np.zeros(len(sizes) * HASHES, np.uint32)
-    full = np.zeros(len(sizes) * HASHES, bool)
-    value[cell[lead]] = (mix(h[lead]) >> np.uint64(32)).astype(np.uint32)
+def _signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(size, bands) of non-empty lines: distinct shingles and BANDS keys each.
+
+    One sort of (line, 44 bits of the hash) orders and counts the shingles; the
+    first of each bin is its least. An empty bin takes the next full one's
+    value, turned by the distance.
+    """
+    own, h = _hashes(lines)
+    packed = np.sort(own << np.uint64(44) | h >> np.uint64(20))
+    packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+    line = (packed >> np.uint64(44)).astype(np.int64)
+    size = np.bincount(line, minlength=len(lines))
+    packed &= _KEEP
+    cell = line * HASHES + (packed * np.uint64(HASHES) >> np.uint64(44)).astype(np.int64)
+    lead = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    value, full = np.zeros(len(lines) * HASHES, np.uint32), np.zeros(len(lines) * HASHES, bool)
+    value[cell[lead]] = (mix(packed[lead]) >> np.uint64(32)).astype(np.uint32)
     full[cell[lead]] = True
     value, full = value.reshape(-1, HASHES), full.reshape(-1, HASHES)
-    at = np.where(np.concatenate([full, full], 1), np.arange(2 * HASHES), 4 * HASHES)
+    at = np.where(np.concatenate([full, full], 1), np.arange(2 * HASHES, dtype=np.int16), np.int16(4 * HASHES))
     following = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :HASHES]
-    far = (following - np.arange(HASHES)).astype(np.uint32)
-    return np.take_along_axis(value, following % HASHES, 1) + far * np.uint32(0x9E3779B1)
-
-
-def _band_keys(sig: np.ndarray) -> np.ndarray:
+    far = (following - np.arange(HASHES, dtype=np.int16)).astype(np.uint32)
+    sig = np.take_along_axis(value, (following % HASHES).astype(np.int64), 1) + far * np.uint32(0x9E3779B1)
     parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _CHAR), parts.shape[:2]).copy()
+    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE), parts.shape[:2]).copy()
     for r in range(ROWS):
         key = mix(key * np.uint64(0x9FB21C651E98DF25) + parts[:, :, r])
-    return key.view(np.int64)
+    return size, key.view(np.int64)
+
+
+def _own_lines(text: str | None) -> list[str]:
+    """A text's lines; white space at their ends does not count."""
+    return [x.strip(" \t\x0b\x0c\r") for x in (text or "").split("\n")]
+
+
+def _digest(line: str) -> bytes:
+    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _lines(batches):
+    """(doc_id, text) to a row for each line: doc_id, line_no, n_chars, hi, lo, size, bands.
+
+    hi and lo are the key of the text, null for a blank line. A text's size and
+    bands come with its first line in a worker, and again when the worker has
+    forgotten it; lines without doc_id have none.
+    """
+    signed = Generations(lambda key: False, REMEMBERED)
     for batch in batches:
-        ids = batch.column(0)
-        for row, number, n, sizes, h in _line_sets(batch.column(1).to_pylist()):
-            keys = _keys(sizes, h)
-            yield pa.record_batch([ids.take(pa.array(row)), pa.array(number.astype(np.int64)), pa.array(n), pa.array(keys, mask=sizes == 0)], ["doc_id", "line_no", "n_chars", "node"])
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        doc, number, size, keys, fresh, at = [], [], [], [], [], []
+        for d, text in zip(ids, texts):
+            for i, line in enumerate(_own_lines(text)):
+                key = _digest(line) if line else None
+                if key and d is not None and not signed[key]:
+                    signed[key] = True
+                    at.append(len(doc))
+                    fresh.append(line)
+                doc.append(d)
+                number.append(i)
+                size.append(len(line))
+                keys.append(key)
+        n = len(doc)
+        if not n:
+            continue
+        sets, bands = np.zeros(n, np.int64), np.zeros((n, BANDS), np.int64)
+        place = np.array(at, np.int64)
+        for lo, part in _runs(fresh):
+            own = place[lo : lo + len(part)]
+            sets[own], bands[own] = _signed(part)
+        whole = np.frombuffer(b"".join(k or b"\0" * 16 for k in keys), "<i8").reshape(-1, 2)
+        blank = np.array([k is None for k in keys], bool)
+        old = np.ones(n, bool)
+        old[place] = False
+        offsets = np.concatenate([[0], np.cumsum(~old) * BANDS]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[~old].ravel()), mask=pa.array(old))
+        columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int64()), pa.array(size, pa.int64()), pa.array(whole[:, 0], mask=blank), pa.array(whole[:, 1], mask=blank), pa.array(sets, mask=old), listed]
+        yield pa.record_batch(columns, ["doc_id", "line_no", "n_chars", "hi", "lo", "size", "bands"])
 
 
-def _bands(batches):
+def _bodies(batches):
+    """(text, wanted lines with their keys) to (rep, body); a line with another key is of another row with the same doc_id."""
     for batch in batches:
-        seen: set[int] = set()
-        for _, _, _, sizes, h in _line_sets(batch.column(1).to_pylist()):
-            keys = _keys(sizes, h)[sizes > 0]
-            if not len(keys):
-                continue
-            new = np.zeros(len(keys), bool)
-            for i, k in enumerate(keys.tolist()):
-                if k not in seen:
-                    seen.add(k)
-                    new[i] = True
-            bands = _band_keys(_signatures(sizes, h)[new])
-            yield pa.record_batch([pa.array(bands.ravel()), pa.array(np.repeat(keys[new], BANDS))], ["key", "rep"])
-
-
-def _verifiable(batches):
-    """(text, wanted lines) to (rep, sig, shingles); no signature is needed, so sig is empty."""
-    for batch in batches:
-        texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        lines = [(t or "").split("\n")[i] for t, own in zip(texts, wanted) for i in own]
-        for _, _, _, sizes, h in _line_sets(lines):
-            keys, ends = _keys(sizes, h), np.cumsum(sizes)
-            at = np.flatnonzero(sizes)
-            yield pa.record_batch([pa.array(keys[at]), pa.array([b""] * len(at), pa.binary()), pa.array([h[ends[i] - sizes[i] : ends[i]].tobytes() for i in at], pa.binary())], ["rep", "sig", "shingles"])
+        reps, out = [], []
+        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = _own_lines(text)
+            for w in wanted:
+                line = lines[w["line_no"]] if w["line_no"] < len(lines) else ""
+                if line and np.frombuffer(_digest(line), "<i8").tolist() == [w["hi"], w["lo"]]:
+                    reps.append(w["node"])
+                    out.append(line)
+        yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(out, pa.string())], ["rep", "body"])
+
+
+def _pairs(percent: int):
+    def run(batches):
+        for batch in batches:
+            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
+            place: dict[str, int] = {}
+            for line in [*x, *y]:
+                place.setdefault(line, len(place))
+            sets = _sets(list(place))
+            yield edge_batch([(p, q) for p, q, u, v in zip(a, b, x, y) if _linked(sets[place[u]], sets[place[v]], percent)])
+
+    return run
+
+
+def _unpacked(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
+    return [], [x.tobytes() for x in _sets([r[0] for r in rows])]
+
+
+def _candidates(lines: DataFrame) -> DataFrame:
+    """(key, lo): the band keys that several texts have in common, with their texts' keys.
+
+    Band rows are dealt once by key; both the count of a key and its members
+    come from that exchange. Frequent keys, of which there are MOST_FREQUENT at
+    most, are left out of it: all their rows are members.
+    """
+    spark = lines.sparkSession
+    rows = lines.where("bands is not null").select("lo", F.explode("bands").alias("key"))
+    sample = durable(lines.where(f"bands is not null and pmod(lo, {SAMPLED}) = 0").select("lo", F.explode("bands").alias("key")).groupBy("key").agg(F.count_distinct("lo").alias("n")).where("n > 8"))
+    total = lines.where(f"bands is not null and pmod(lo, {SAMPLED}) = 0").count() * BANDS
+    frequent = [r["key"] for r in sample.where(F.col("n") >= max(64, -(-total // MOST_FREQUENT))).select("key").collect()]  # MOST_FREQUENT at most
+    rare = rows.where(~F.col("key").isin(frequent)) if frequent else rows
+    dealt = rare.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    shared = dealt.groupBy("key").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x != y").select("key")
+    found = dealt.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "lo")
+    return durable(found.unionByName(rows.where(F.col("key").isin(frequent)).select("key", "lo")) if frequent else found)
 
 
 def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -153,24 +235,34 @@ def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT,
     its lines, and repeats of that line stay with it. A null doc_id comes last.
     No rows give no rows; other columns are ignored.
     """
+    spark = docs.sparkSession
     texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = durable(texts.mapInArrow(lean(_lines), "doc_id long, line_no long, n_chars long, node long"))
-
-    def sets(need: DataFrame) -> DataFrame:
-        at = lines.where("doc_id is not null").join(need, F.col("node") == F.col("rep")).groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-        wanted = durable(at.groupBy("at.doc_id").agg(F.collect_list(F.col("at.line_no").cast("int")).alias("wanted")))  # a document's own lines
-        own = texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("text", "wanted")
-        return own.mapInArrow(lean(_verifiable), "rep long, sig binary, shingles binary").dropDuplicates(["rep"])
-
-    bands = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(_bands), "key long, rep long")
-    labels = banded_components(bands, sets, percent, tile, [])
-    placed = durable(lines.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("doc_id", "line_no", "n_chars", F.coalesce("component", "node").alias("component")))
+    lines = durable(texts.mapInArrow(lean(_lines), "doc_id long, line_no long, n_chars long, hi long, lo long, size long, bands array<long>"))
+    found = _candidates(lines)
+    release(spark)
+    # Two texts with one lo are two nodes: lo only finds candidates.
+    at = F.min(F.struct("doc_id", "line_no")).alias("at")
+    known = lines.where("doc_id is not null").join(found.select("lo").distinct(), "lo", "left_semi").groupBy("hi", "lo").agg(at, F.max("size").alias("size"))
+    nodes = durable(known.withColumn("node", F.monotonically_increasing_id()))
+    placed = durable(found.join(nodes.select("lo", "node", "size"), "lo").select("key", "node", "size"))
+    fit = placed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count_distinct("node").alias("n"), F.min("size").alias("s"), F.max("size").alias("t"))
+    fit = fit.where((F.col("x") != F.col("y")) & ((F.col("n") > 2) | (100 * F.col("s") * 1.01 >= percent * F.col("t"))))  # sizes are of 44-bit hashes
+    members = bucket_members(placed.join(fit.select("key"), "key", "left_semi").select("key", F.col("node").alias("rep")))
+    need = members.select(F.col("rep").alias("node")).distinct()
+    wanted = nodes.join(need, "node", "left_semi").groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "hi", "lo", "node")).alias("wanted"))  # a document's own lines
+    own = texts.where("doc_id is not null").join(durable(wanted), "doc_id").select("text", "wanted")
+    bodies = durable(own.mapInArrow(lean(_bodies), "rep long, body string").dropDuplicates(["rep"]))
+    release(spark)
+    labels = banded_components(members, bodies, _pairs(percent), tiles_links(percent, [], _unpacked), tile)
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    first = durable(placed.where("component is not null").groupBy("component").agg(F.min(order).alias("k")).select("component", F.col("k.d").alias("keep_doc_id"), F.col("k.l").alias("keep_line_no")))
-    out = placed.join(first, "component", "left")
-    kept = F.col("component").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no")))
-    own = lambda c: F.when(F.col("component").isNull(), F.col(c)).otherwise(F.col("keep_" + c)).alias("keep_" + c)
-    return out.select("doc_id", "line_no", "n_chars", own("doc_id"), own("line_no"), kept.alias("kept"))
+    named = nodes.select("hi", "lo", "node").join(labels, "node").select("hi", "lo", "component")
+    first = durable(lines.where("lo is not null").groupBy("hi", "lo").agg(F.min(order).alias("k")).join(named, ["hi", "lo"], "left"))
+    least = first.where("component is not null").groupBy("component").agg(F.min("k").alias("_k"))
+    first = first.join(least, "component", "left").select("hi", "lo", F.coalesce("_k", "k").alias("k"))
+    out = lines.drop("size", "bands").join(first, ["hi", "lo"], "left")
+    kept = F.col("k").isNull() | (F.col("doc_id").eqNullSafe(F.col("k.d")) & (F.col("line_no") == F.col("k.l")))
+    mine = lambda c, own: F.when(F.col("k").isNull(), F.col(own)).otherwise(F.col(f"k.{c}")).alias(f"keep_{own}")
+    return out.select("doc_id", "line_no", "n_chars", mine("d", "doc_id"), mine("l", "line_no"), kept.alias("kept"))
 
 
 def op2_fuzzy_lines(spark, sf_dir: str) -> DataFrame:

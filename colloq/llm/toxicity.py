@@ -53,7 +53,13 @@ class Features:
         return Features(self.ids[rows], n, self.grams[at])
 
 
-def features(words: list[bytes]) -> Features:
+def features(words: list[bytes], at_once: int = 20_000) -> Features:
+    """The features of words, some at a time, so that what is made on the way stays small."""
+    parts = [_features(words[i : i + at_once]) for i in range(0, len(words), at_once)]
+    return Features(*(np.concatenate([getattr(p, name) for p in parts]) for name in ("ids", "sizes", "grams"))) if parts else _features(words)
+
+
+def _features(words: list[bytes]) -> Features:
     """Lower-cased words without punctuation; n-grams are of 3 and 4 bytes of UTF-8 with marks at both ends."""
     text = b"\n".join(words).decode("utf-8", "replace").lower().encode().translate(None, _PUNCTUATION)
     raw = np.frombuffer(b"^" + text.replace(b"\n", b"$$\n^") + b"$$\n\n\n", np.uint8)
@@ -63,10 +69,10 @@ def features(words: list[bytes]) -> Features:
     codes = np.stack([code, code << np.uint64(8) | raw[3:].astype(np.uint64) | np.uint64(1 << 40)], 1)
     three = ~(line[:-3] | line[1:-2] | line[2:-1])
     valid = np.stack([three, three & ~line[3:]], 1)
-    grams = (mix(codes[valid]) % np.uint64(GRAM_ROWS)).astype(np.int64)
+    grams = (mix(codes[valid]) % np.uint64(GRAM_ROWS)).astype(np.int32)
     word = np.cumsum(line[:-3])
     sizes = np.bincount(np.repeat(word, valid.sum(1)), minlength=len(words))[: len(words)]
-    return Features((h % np.uint64(WORD_ROWS)).astype(np.int64), sizes, grams)
+    return Features((h % np.uint64(WORD_ROWS)).astype(np.int32), sizes, grams)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -215,10 +221,10 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Network | None
     label = np.array(labels, np.float32)
     if not len(label) or label.min() == label.max():
         return None
-    split = [(t or "").encode().split() for t in texts]
     place: dict[bytes, int] = {}
-    words = np.array([place.setdefault(w, len(place)) for s in split for w in s], np.int64)
-    counts = np.array([len(s) for s in split], np.int64)
+    each = [np.array([place.setdefault(w, len(place)) for w in (t or "").encode().split()], np.int32) for t in texts]
+    words, counts = np.concatenate(each), np.array([len(s) for s in each], np.int64)
+    del each
     rows = features(list(place)) if place else None
     if rows is None:
         return None
@@ -327,14 +333,17 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _fitted(batches):
     """The whole sample, in one task, to one row: the pickled network, or null if there is nothing to learn."""
     rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-    net = train([text for _, text, _ in rows], [toxic for _, _, toxic in rows])
+    texts, labels = [text for _, text, _ in rows], [toxic for _, _, toxic in rows]
+    del rows
+    net = train(texts, labels)
     yield pa.record_batch([pa.array([net and pickle.dumps(net)], pa.binary())], ["net"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
     """The pickled network. Only its weights come to the driver; the bounded sample goes to one executor task."""
     rows = training_rows(docs, labels).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("toxic").cast("int"))
-    return rows.repartition(1).mapInArrow(lean(_fitted), "net binary").first()["net"]
+    found = rows.repartition(1).mapInArrow(lean(_fitted), "net binary").first()
+    return found and found["net"]
 
 
 def _network(pickled: bytes | None) -> Network | None:
