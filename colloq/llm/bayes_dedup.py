@@ -324,7 +324,10 @@ def banded_components(members: DataFrame, bodies: DataFrame, pairs: Callable, ti
     labels = durable(connected_components(near.mapInArrow(lean(pairs), "a long, b long")))
     # What is left: buckets with more than one component.
     placed = durable(members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("comp")))
-    mixed = durable(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key"))
+    # Of buckets with the same members one is enough.
+    summary = [F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.min("rep").alias("r"), F.bit_xor(F.xxhash64("rep")).alias("print")]
+    mixed = placed.groupBy("key").agg(*summary).where("x != y")
+    mixed = durable(mixed.groupBy("n", "r", "print").agg(F.min("key").alias("key")).select("key"))
     n = F.ceil(F.col("size") / tile).cast("int")
     left = placed.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(7)), n).cast("int"))
     left = left.select("key", "rep", "comp", "tile", F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))

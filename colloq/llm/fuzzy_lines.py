@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .bayes_dedup import _linked, banded_components, bucket_members, edge_batch, tiles_links
+from .bayes_dedup import _linked, banded_components, edge_batch, tiles_links
 from .common import Generations, durable, lean, mix, release, text_batches
 
 #: Characters in a shingle; bands and rows of the signature; links need 100 * intersection >= PERCENT * union.
@@ -207,25 +208,47 @@ def _unpacked(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
     return [], [x.tobytes() for x in _sets([r[0] for r in rows])]
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
+def _frequent(lines: DataFrame) -> list[int]:
+    """Band keys that a fixed share of the texts has in common, MOST_FREQUENT at most, from a hashed part of the texts."""
+    sample = durable(lines.where(f"bands is not null and pmod(lo, {SAMPLED}) = 0").select("lo", "bands"))
+    least = max(64, -(-sample.count() * BANDS // MOST_FREQUENT))
+    found = sample.select("lo", F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return [r["key"] for r in found.select("key").collect()]  # MOST_FREQUENT at most
+
+
+def _candidates(lines: DataFrame, frequent: list[int], percent: int) -> DataFrame:
     """(key, lo): the band keys that several texts have in common, with their texts' keys.
 
-    Band rows are dealt once by key; both the count of a key and its members
-    come from that exchange. Frequent keys, of which there are MOST_FREQUENT at
-    most, are left out of it: all their rows are members.
+    Band rows are dealt once by key; both the summary of a key and its members
+    come from that exchange. A key of two texts whose sets differ too much in
+    size links nothing and is left out (sizes are of 44-bit hashes, hence the
+    hundredth). Frequent keys stay out of the exchange: all their rows are members.
     """
-    spark = lines.sparkSession
-    rows = lines.where("bands is not null").select("lo", F.explode("bands").alias("key"))
-    sample = durable(lines.where(f"bands is not null and pmod(lo, {SAMPLED}) = 0").select("lo", F.explode("bands").alias("key")).groupBy("key").agg(F.count_distinct("lo").alias("n")).where("n > 8"))
-    total = lines.where(f"bands is not null and pmod(lo, {SAMPLED}) = 0").count() * BANDS
-    frequent = [r["key"] for r in sample.where(F.col("n") >= max(64, -(-total // MOST_FREQUENT))).select("key").collect()]  # MOST_FREQUENT at most
+    rows = lines.where("bands is not null").select("lo", F.col("size").cast("int").alias("size"), F.explode("bands").alias("key"))
     rare = rows.where(~F.col("key").isin(frequent)) if frequent else rows
-    dealt = rare.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-    shared = dealt.groupBy("key").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x != y").select("key")
-    found = dealt.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "lo")
+    dealt = rare.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    of = dealt.groupBy("key").agg(F.min("lo").alias("x"), F.max("lo").alias("y"), F.count("*").alias("n"), F.min("size").alias("s"), F.max("size").alias("t"))
+    of = of.where((F.col("x") != F.col("y")) & ((F.col("n") > 2) | (101 * F.col("s").cast("long") >= percent * F.col("t").cast("long"))))
+    found = dealt.join(of.select("key").hint("shuffle_hash"), "key", "left_semi").select("key", "lo")
     return durable(found.unionByName(rows.where(F.col("key").isin(frequent)).select("key", "lo")) if frequent else found)
 
 
+def _members(found: DataFrame, nodes: DataFrame, frequent: list[int]) -> DataFrame:
+    """(key, size, lead, rep) of candidates (key, lo) by node; a rare key's rows meet in one task, a frequent key's are combined before they move."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = found.join(nodes.select("lo", F.col("node").alias("rep")), "lo").select("key", "rep")
+    if frequent:
+        placed = durable(placed)
+    rare = placed.where(~F.col("key").isin(frequent)) if frequent else placed
+    w = Window.partitionBy("key")
+    out = rare.repartition(parts, "key").dropDuplicates(["key", "rep"]).select("key", F.count("*").over(w).alias("size"), F.min("rep").over(w).alias("lead"), "rep").where("size > 1")
+    if frequent:
+        own = durable(placed.where(F.col("key").isin(frequent)).distinct())
+        of = own.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead"))
+        out = out.unionByName(own.join(F.broadcast(of), "key").select("key", "size", "lead", "rep").where("size > 1"))  # MOST_FREQUENT rows at most
+    return durable(out)
+
+
 def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """One row per line: doc_id, line_no, n_chars, keep_doc_id, keep_line_no, kept.
 
@@ -238,19 +261,18 @@ def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT,
     spark = docs.sparkSession
     texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = durable(texts.mapInArrow(lean(_lines), "doc_id long, line_no long, n_chars long, hi long, lo long, size long, bands array<long>"))
-    found = _candidates(lines)
+    frequent = _frequent(lines)
+    found = _candidates(lines, frequent, percent)
     release(spark)
     # Two texts with one lo are two nodes: lo only finds candidates.
-    at = F.min(F.struct("doc_id", "line_no")).alias("at")
-    known = lines.where("doc_id is not null").join(found.select("lo").distinct(), "lo", "left_semi").groupBy("hi", "lo").agg(at, F.max("size").alias("size"))
-    nodes = durable(known.withColumn("node", F.monotonically_increasing_id()))
-    placed = durable(found.join(nodes.select("lo", "node", "size"), "lo").select("key", "node", "size"))
-    fit = placed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count_distinct("node").alias("n"), F.min("size").alias("s"), F.max("size").alias("t"))
-    fit = fit.where((F.col("x") != F.col("y")) & ((F.col("n") > 2) | (100 * F.col("s") * 1.01 >= percent * F.col("t"))))  # sizes are of 44-bit hashes
-    members = bucket_members(placed.join(fit.select("key"), "key", "left_semi").select("key", F.col("node").alias("rep")))
+    known = lines.where("doc_id is not null").select("hi", "lo", "doc_id", "line_no").join(found.select("lo").distinct(), "lo", "left_semi")
+    nodes = durable(known.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).withColumn("node", F.monotonically_increasing_id()))
+    members = _members(found, nodes, frequent)
     need = members.select(F.col("rep").alias("node")).distinct()
     wanted = nodes.join(need, "node", "left_semi").groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "hi", "lo", "node")).alias("wanted"))  # a document's own lines
-    own = texts.where("doc_id is not null").join(durable(wanted), "doc_id").select("text", "wanted")
+    wanted = durable(wanted)
+    release(spark)
+    own = texts.where("doc_id is not null").join(wanted, "doc_id").select("text", "wanted")
     bodies = durable(own.mapInArrow(lean(_bodies), "rep long, body string").dropDuplicates(["rep"]))
     release(spark)
     labels = banded_components(members, bodies, _pairs(percent), tiles_links(percent, [], _unpacked), tile)
