@@ -41,7 +41,8 @@ CUT = 12.83
 FLOORS = (0.01, 0.01, 0.04, 0.2, 0.15)
 #: Rows that the estimate above counts for, and the standard deviations around the medians at the top.
 PRIOR, SPREAD = 40.0, (1.0, 0.15, 0.04, 0.2, 0.15)
-STEPS = 12
+#: Concentration steps at most, for the groups and for the estimates that are only lent to them.
+STEPS, LENT_STEPS = 12, 4
 P = len(FLOORS)
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 _BINS = 100.0
@@ -165,7 +166,7 @@ def ordinary(rows: DataFrame) -> DataFrame:
     return q.select("key", *[F.col(f"b{i}").alias(f"s{i}") for i in range(P)], *second)
 
 
-def minimum_determinant(rows: DataFrame, above: DataFrame) -> tuple[DataFrame, DataFrame]:
+def minimum_determinant(rows: DataFrame, above: DataFrame, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
     """(estimates, moments) for the keys of ``rows`` (key, up, f0..), by concentration steps from three starts.
 
     ``above`` has the moments of one row for each ``up``; PRIOR of them are
@@ -181,13 +182,13 @@ def minimum_determinant(rows: DataFrame, above: DataFrame) -> tuple[DataFrame, D
     whole = pooled(rows.groupBy("key").agg(*_moments()).withColumn("start", F.lit(0)))
     estimate, before, sums = durable(_estimate(whole).unionByName(_starts(_quartiles(rows)))), None, None
     w = Window.partitionBy("start", "key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(STEPS):
+    for _ in range(steps):
         bins = F.floor(F.log1p(F.least("d2", F.lit(1e6))) * _BINS).cast("int")
         held = durable(_distance(rows.drop("up"), estimate).withColumn("bin", bins).groupBy("start", "key", "bin").agg(*_moments()))
         earlier = F.coalesce(F.sum("n").over(w), F.lit(0))
         core = held.withColumn("earlier", earlier).join(keys.select("key", "all"), "key").where(F.col("earlier") < SHARE * F.col("all"))
         sums = durable(pooled(core.groupBy("start", "key").agg(*_added())))
-        estimate = durable(_estimate(sums))
+        estimate = _estimate(sums)  # a row for each start and key, worked out anew where it is joined
         now = estimate.agg(F.sum("logdet")).first()[0]
         if now is None or (before is not None and abs(now - before) < 1e-6 * (1 + abs(now))):
             break
@@ -209,8 +210,8 @@ def rated(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = {"g2": F.to_json(F.array("lang", "source")), "g1": F.to_json(F.array("lang"))}
     stats = durable(statistics(docs, text_col).withColumn("base_failed", failed).withColumns(names).withColumns({f"f{i}": f for i, f in enumerate(_vector())}))
     passed, own = stats.where("not base_failed"), [f"f{i}" for i in range(P)]
-    _, above = minimum_determinant(passed.select(F.lit("").alias("key"), F.lit("").alias("up"), *own), durable(ordinary(passed)))
-    _, above = minimum_determinant(passed.select(F.col("g1").alias("key"), F.lit("").alias("up"), *own), above)
+    _, above = minimum_determinant(passed.select(F.lit("").alias("key"), F.lit("").alias("up"), *own), durable(ordinary(passed)), LENT_STEPS)
+    _, above = minimum_determinant(passed.select(F.col("g1").alias("key"), F.lit("").alias("up"), *own), above, LENT_STEPS)
     estimate, _ = minimum_determinant(passed.select(F.col("g2").alias("key"), F.col("g1").alias("up"), *own), above)
     out = _distance(stats.withColumnRenamed("g2", "key"), estimate).withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d2")))
     kept = ~F.col("base_failed") & (F.col("distance") <= CUT**0.5)

@@ -161,7 +161,7 @@ def test_verdict_against_numpy(spark):
     def distance(e):
         return (np.linalg.solve(e[1], (x - e[0]).T) ** 2).sum(0)
 
-    def fitted(lent):
+    def fitted(lent, steps):
         p = rr.PRIOR
         pooled = lambda rows: ((rows.sum(0) + p * lent[0]) / (len(rows) + p), (rows.T @ rows + p * lent[1]) / (len(rows) + p))
         q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
@@ -169,7 +169,7 @@ def test_verdict_against_numpy(spark):
         low = np.concatenate([q[1][:2], q[0][2:]])
         out = []
         for e in (factor(*pooled(x)), (q[1], np.diag(scale)), (low, np.diag(scale))):
-            for _ in range(rr.STEPS):
+            for _ in range(steps):
                 d = np.floor(np.log1p(np.minimum(distance(e), 1e6)) * rr._BINS)
                 order = np.sort(d)
                 earlier = np.searchsorted(order, d, "left")
@@ -181,8 +181,8 @@ def test_verdict_against_numpy(spark):
 
     q = np.quantile(x, 0.5, axis=0, method="inverted_cdf")
     lent = (q, np.outer(q, q) + np.diag(np.array(rr.SPREAD) ** 2))
-    for _ in range(3):  # all rows, the language, the source: here the same rows
-        e, lent = fitted(lent)
+    for steps in (rr.LENT_STEPS, rr.LENT_STEPS, rr.STEPS):  # all rows, the language, the source: here the same rows
+        e, lent = fitted(lent, steps)
     d = distance(e)
     near = [i for i in range(len(x)) if abs(d[i] - rr.CUT) > 0.5]
     assert len(near) > 230 and all(got[i]["kept"] == (d[i] <= rr.CUT) for i in near)
