@@ -295,7 +295,8 @@ def _components_of(texts: DataFrame, classes: DataFrame, words: int, percent: in
     bodies = durable(own.mapInArrow(lean(_verifiable(words)), "doc_id long, sig binary, shingles binary").withColumnRenamed("doc_id", "rep"))
     cuts = _cuts(percent)
     unpack = lambda rows: ([r[0] for r in rows], [r[1] for r in rows])
-    return banded_components(members, bodies, _pairs(percent, cuts), tiles_links(percent, cuts, unpack), tile)
+    first = durable(members.where("rep != lead").groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")))
+    return banded_components(members, first, bodies, _pairs(percent, cuts), tiles_links(percent, cuts, unpack), tile)
 
 
 def bucket_members(bands: DataFrame) -> DataFrame:
@@ -310,16 +311,16 @@ def bucket_members(bands: DataFrame) -> DataFrame:
     return durable(every.join(same, "key"))
 
 
-def banded_components(members: DataFrame, bodies: DataFrame, pairs: Callable, tiles: Callable, tile: int) -> DataFrame:
-    """(node, component) over the members of buckets (:func:`bucket_members`).
+def banded_components(members: DataFrame, first: DataFrame, bodies: DataFrame, pairs: Callable, tiles: Callable, tile: int) -> DataFrame:
+    """(node, component) over the members of buckets (:func:`bucket_members`) and the ends of pairs.
 
-    ``bodies`` has (rep, body...) for each member. ``pairs`` verifies rows
+    The pairs ``first`` (a, b) are verified before buckets are compared in
+    full. ``bodies`` has (rep, body...) for each member and each end. ``pairs`` verifies rows
     (a, b, a's body..., b's body...), ``tiles`` those of :func:`tiles_links`;
     both are Arrow functions that return links (a, b).
     """
     body = [c for c in bodies.columns if c != "rep"]
     side = lambda name: bodies.select(F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in body])
-    first = durable(members.where("rep != lead").groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")))
     near = first.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{name}" for name in "ab" for c in body])
     labels = durable(connected_components(near.mapInArrow(lean(pairs), "a long, b long")))
     # What is left: buckets with more than one component.
@@ -335,7 +336,7 @@ def banded_components(members: DataFrame, bodies: DataFrame, pairs: Callable, ti
     left = left.join(bodies, "rep").select("key", "ta", "tb", "tile", "comp", *body)
     left = left.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
     more = durable(connected_components(left.mapInArrow(lean(tiles), "a long, b long")).withColumnRenamed("component", "root"))
-    nodes = members.select("rep").distinct().join(labels, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("n"), F.coalesce("component", "rep").alias("c"))
+    nodes = members.select("rep").unionByName(first.select(F.col("a").alias("rep"))).unionByName(first.select(F.col("b").alias("rep"))).distinct().join(labels, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("n"), F.coalesce("component", "rep").alias("c"))
     return durable(nodes.join(more, F.col("c") == F.col("node"), "left").select(F.col("n").alias("node"), F.coalesce("root", "c").alias("component")))
 
 
