@@ -8,7 +8,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-HEADLINE = ["speaker_summary", "keyword_tf", "lexicon_hits", "word_speaker_overlap", "merge_speaker", "graph_summary", "neighbors", "components", "sentences", "identify_top3"]
+HEADLINE = ["speaker_summary", "keyword_tf", "lexicon_hits", "word_speaker_overlap", "merge_speaker", "graph_summary", "neighbors", "components_all", "sentences", "identify_top3"]
 
 
 def main() -> None:

@@ -155,14 +155,34 @@ def _verbs(spark) -> DataFrame:
     return spark.createDataFrame([(v, v, a) for v, a in (("is", "be"), ("was", "be"), ("send", "send"), ("call", "call"), ("die", "go"), ("et", "meet"), ("de", "meet"))], "form string, verb string, action string")
 
 
+def _sure(spark, d) -> DataFrame:
+    return lexicon(spark, d).select("term", "type", F.lit(0.8).alias("confidence"), F.lit(1).alias("n_words"))
+
+
 def _analysed(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The whole analysis of the conversations, with benchmark words as the lexicon and the watchlist."""
-    s = segments(spark, d).select("call_id", "idx", "speaker_id", F.lower("text").alias("text"))
-    lex = lexicon(spark, d).select("term", "type", F.lit(0.8).alias("confidence"), F.lit(1).alias("n_words"))
+    s, lex = segments(spark, d).select("call_id", "idx", "speaker_id", F.lower("text").alias("text")), _sure(spark, d)
     watched = lexicon(spark, d).where(F.length("term") >= 9).select("term", F.lit("").alias("note"))
     return s, analysis.calls_analysed(s, watched, lex, _verbs(spark))
 
 
+def _documents(spark, d) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+
+
+@query()
+def ner_full(spark, d):
+    """Entities of all documents by every rule, with benchmark words as the lexicon."""
+    return language.entities(_documents(spark, d), "doc_id", _sure(spark, d))
+
+
+@query()
+def events_full(spark, d):
+    """Events of all documents with their entities."""
+    docs = _documents(spark, d)
+    return language.events(docs, language.entities(docs, "doc_id", _sure(spark, d)), "doc_id", verbs=_verbs(spark))
+
+
 @query()
 def calls_analysed(spark, d):
     return _analysed(spark, d)[1]["metadata"]

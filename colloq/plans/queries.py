@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import spans, vectors
 from ..functions import text as tx
-from ..operators import analysis, audio, graph, intervals, kernels, language, records
+from ..operators import audio, graph, intervals, kernels, language, records
 from ..shared import numbered_in_order
 from ..sources import exports, files, stores
 from ..streaming import live
@@ -506,17 +506,9 @@ def _pairs(spark, d) -> DataFrame:
     return n.withColumnRenamed("text", "ref").join(after, "n", "left").select("item_id", "ref", "hyp")
 
 
-@query("""WITH p AS (SELECT item_id, lower(text) AS ref, lead(lower(text)) OVER (ORDER BY item_id) AS hyp FROM benchmark)
-SELECT item_id, CAST(levenshtein(ref, hyp) AS BIGINT) AS distance FROM p WHERE hyp IS NOT NULL AND regexp_full_match(ref, '[ -~]*') AND regexp_full_match(hyp, '[ -~]*')""")
-def cer_total(spark, d):
-    p = _pairs(spark, d)
-    plain = lambda c: F.col(c).rlike("^[ -~]*$")
-    return p.where(F.col("hyp").isNotNull() & plain("ref") & plain("hyp")).select("item_id", F.levenshtein("ref", "hyp").cast("long").alias("distance"))
-
-
 @query()
 def cer_all(spark, d):
-    """cer_total over all pairs: accents and line breaks count as one character each, which DuckDB's byte-wise levenshtein cannot tell."""
+    """Character errors of each text against the next. Accents and line breaks count as one character each, which DuckDB's byte-wise levenshtein cannot tell: no SQL."""
     p = _pairs(spark, d)
     return p.where("ref is not null and hyp is not null").select("item_id", F.levenshtein("ref", "hyp").cast("long").alias("distance"))
 
@@ -633,15 +625,6 @@ def signal_quality(spark, d):
 # Graphs
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 5 = 0 AND l_suppkey % 5 = 0 AND l_quantity > 48),
-b AS (SELECT 'c' || c AS x, 's' || s AS y FROM e UNION SELECT 's' || s, 'c' || c FROM e),
-r AS (SELECT x AS node, x AS lead FROM b UNION SELECT b.y, r.lead FROM r JOIN b ON r.node = b.x)
-SELECT node, min(lead) AS component FROM r GROUP BY 1""")
-def components(spark, d):
-    """Components of the part that the SQL can follow; components_all has the whole graph."""
-    return graph.components(_narrow_edges(spark, d))
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS c, 's' || l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 b AS (SELECT c AS x, s AS y FROM e UNION ALL SELECT s, c FROM e),
 r(node, component) USING KEY (node) AS (SELECT x, x FROM b GROUP BY x UNION SELECT b.x, min(r.component) FROM r JOIN b ON r.node = b.y JOIN recurring.r AS old ON old.node = b.x GROUP BY b.x, old.component HAVING min(r.component) < old.component)
@@ -657,22 +640,6 @@ def _purchase_edges(spark, d) -> DataFrame:
     return j.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target")).distinct()
 
 
-def _narrow_edges(spark, d) -> DataFrame:
-    """Edges of one purchase group: customers and suppliers of every fifth number with large line items."""
-    j = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_custkey % 5 = 0 and l_suppkey % 5 = 0 and l_quantity > 48")
-    return j.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target")).distinct()
-
-
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-b AS (SELECT 'c' || c AS x, 's' || s AS y FROM e UNION SELECT 's' || s, 'c' || c FROM e),
-r AS (SELECT 's1' AS node, 0 AS distance UNION SELECT b.y, r.distance + 1 FROM r JOIN b ON r.node = b.x WHERE r.distance < 4)
-SELECT node, CAST(min(distance) AS INT) AS distance FROM r GROUP BY 1""")
-def bfs_distance(spark, d):
-    j = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    e = j.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target")).distinct()
-    return graph.distances(e, F.col("node") == "s1", 4).select("node", "distance")
-
-
 @query()
 def betweenness(spark, d):
     e = _purchase_edges(spark, d)
@@ -684,30 +651,3 @@ def graph_demo(spark, d):
     e = graph.upsert_edges(entity_edges(spark, d))
     nodes = e.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("mention_count")).select("id", F.lit("Person").alias("type"), F.col("id").alias("label"), "mention_count")
     return exports.graph_demo(nodes, e)[0].select("id", "type", "size")
-
-
-# The Arabic rule pack on a fixed call
-
-CALL = [("C-001", 0, "SPK_01", "السلام عليكم، الشحنة جاهزة يوم الخميس"), ("C-001", 1, "SPK_02", "أرسل خالد الشحنة إلى الرياض يوم الخميس"), ("C-001", 2, "SPK_01", "اجتمع أحمد و خالد في جدة الساعة 9:30")]
-
-
-def _call(spark) -> DataFrame:
-    return spark.createDataFrame(CALL, "call_id string, idx int, speaker_id string, text string")
-
-
-@query()
-def ner_full(spark, d):
-    return language.entities(_call(spark).withColumn("key", F.concat_ws("|", "call_id", "idx")), "key")
-
-
-@query()
-def events_full(spark, d):
-    c = _call(spark).withColumn("key", F.concat_ws("|", "call_id", "idx"))
-    return language.events(c, language.entities(c, "key"), "key")
-
-
-@query()
-def kg_build(spark, d):
-    watched = spark.createDataFrame([("الشحنة", "")], "term string, note string")
-    calls = _call(spark)
-    return analysis.call_graph(calls, analysis.calls_analysed(calls, watched))[1].drop("props")

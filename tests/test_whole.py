@@ -75,9 +75,12 @@ def test_cer_all(spark):
 
 
 def test_kg_build(spark):
-    from colloq.operators import graph
+    from colloq.operators import analysis, graph
 
-    edges = catalogue.queries()["kg_build"](spark, DATA).cache()
+    calls = [("C-001", 0, "SPK_01", "السلام عليكم، الشحنة جاهزة يوم الخميس"), ("C-001", 1, "SPK_02", "أرسل خالد الشحنة إلى الرياض يوم الخميس"), ("C-001", 2, "SPK_01", "اجتمع أحمد و خالد في جدة الساعة 9:30")]
+    calls = spark.createDataFrame(calls, "call_id string, idx int, speaker_id string, text string")
+    tables = analysis.calls_analysed(calls, spark.createDataFrame([("الشحنة", "")], "term string, note string"))
+    edges = analysis.call_graph(calls, tables)[1].drop("props").cache()
     kinds = {r["type"] for r in edges.select("type").distinct().collect()}
     assert {"PARTICIPATED_IN", "MENTIONED_IN", "HAS_ACTOR", "OCCURRED_AT", "OCCURRED_ON", "MENTIONED", "MATCHES_WATCHLIST"} <= kinds
     actor = edges.where("type = 'HAS_ACTOR'").first()["target"]
