@@ -160,13 +160,13 @@ def _path_rows(path: tuple[str, ...]) -> tuple[int, ...]:
 
 
 def features(page: list[Block]) -> list[tuple]:
-    """(path rows, word rows, numbers) of each block."""
+    """(path rows, word rows, numbers) of each block; every word has a row."""
     n, out = len(page), []
     for i, b in enumerate(page):
         words = b.text.split()
         ends = b.text.count(". ") + b.text.endswith((".", "!", "?"))
         numbers = (min(len(words), 60) / 30 - 1, b.linked / len(b.text), i / n, (n - i) / n, min(ends, 4) / 4, float(len(words) < 8))
-        out.append((_path_rows(b.path), tuple(_word_row(w) for w in words[:12] + words[12::7]), numbers))
+        out.append((_path_rows(b.path), tuple(map(_word_row, words)), numbers))
     return out
 
 
