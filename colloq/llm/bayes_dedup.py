@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lean, mix, own_columns, shingles_of, text_batches, text_slices, words_of
+from .common import durable, lean, mix, own_columns, shingles_of, text_batches, text_slices, those_of, words_of
 from .components import connected_components
 
 #: Words in a shingle; bands and rows of the signature.
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS,
 def _components_of(texts: DataFrame, classes: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
     """(node, component) over the classes that share a band with another."""
     members = bucket_members(classes.select("rep", F.explode("bands").alias("key")))
-    own = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = those_of(texts, members.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
     bodies = durable(own.mapInArrow(lean(_verifiable(words)), "doc_id long, sig binary, shingles binary").withColumnRenamed("doc_id", "rep"))
     cuts = _cuts(percent)
     unpack = lambda rows: ([r[0] for r in rows], [r[1] for r in rows])
