@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lean, mix, own_columns, shingles_of, text_batches, text_slices, those_of, words_of
+from .common import durable, lean, marked, mix, own_columns, shingles_of, text_batches, text_slices, those_of, words_of
 from .components import connected_components
 
 #: Words in a shingle; bands and rows of the signature.
@@ -305,7 +305,7 @@ def bucket_members(bands: DataFrame) -> DataFrame:
     Buckets with the same members are one bucket; the lead is its least member.
     """
     hot = durable(bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead != top").select("key", "lead"))
-    every = durable(bands.join(hot, "key").select("key", "lead", "rep").distinct())
+    every = durable(marked(bands, hot, "key").join(hot, "key").select("key", "lead", "rep").distinct())
     same = every.groupBy("key").agg(F.count("*").alias("size"), F.min("lead").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("print"))
     same = durable(same.groupBy("size", "first", "print").agg(F.min("key").alias("key")).select("key", "size"))
     return durable(every.join(same, "key"))

@@ -69,21 +69,25 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 MAP_BITS = 1 << 24
 
 
-def those_of(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The rows of ``rows`` whose ``name`` (a long) is in ``ids``; most others go before anything is shuffled, whatever the sizes.
+def marked(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``rows`` whose ``name`` (a long) may be in ``ids``; most others go, and nothing of ``rows`` is shuffled.
 
     Hashes of the ids are marked in a map of MAP_BITS, which is broadcast: rows
-    that are not marked have no partner, and of the marked ones an exact join
-    keeps those that have. The map has 262,144 rows of two numbers at most and
-    lets through one row in ten without a partner at 1.8 million ids.
+    that are not marked have no partner. The map has 262,144 rows of two
+    numbers at most and lets through one row in ten without a partner at 1.8
+    million ids; an exact join has to follow.
     """
-    ids = durable(ids.select(name).distinct())
     at = F.pmod(F.xxhash64(F.col(name)), F.lit(MAP_BITS))
     marks = ids.select(at.alias("at")).select(F.shiftright("at", 6).alias("_word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("_bit"))
     marks = durable(marks.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
-    marked = F.getbit(F.col("_bits"), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-    some = rows.join(F.broadcast(marks), (F.shiftright(at, 6) == F.col("_word")) & marked, "left_semi")  # MAP_BITS / 64 rows at most
-    return some.join(ids, name, "left_semi")
+    found = F.getbit(F.col("_bits"), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return rows.join(F.broadcast(marks), (F.shiftright(at, 6) == F.col("_word")) & found, "left_semi")  # MAP_BITS / 64 rows at most
+
+
+def those_of(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``rows`` whose ``name`` (a long) is in ``ids``; most others go before anything is shuffled, whatever the sizes."""
+    ids = durable(ids.select(name).distinct())
+    return marked(rows, ids, name).join(ids, name, "left_semi")
 
 
 def lean(run):

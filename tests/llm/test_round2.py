@@ -58,3 +58,16 @@ def test_near_duplicates_move_the_texts_of_candidates_alone(spark, monkeypatch):
         assert len(moved) == 1 and shuffled(moved[0]) < 50
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_keys_of_one_member_are_not_shuffled_twice(spark, monkeypatch):
+    limit, moved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    monkeypatch.setattr(bayes_dedup, "durable", lambda df: (moved.append(df) if df.columns == ["key", "lead", "rep"] else None, common.durable(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(k, k) for k in range(1000)] + [(5, 4), (5, 6), (-7, 1), (-7, 2), (-7, 2), (-8, 2), (-8, 1)]
+        got = bayes_dedup.bucket_members(spark.createDataFrame(rows, "key long, rep long")).collect()
+        assert sorted((r["key"], r["size"], r["lead"], r["rep"]) for r in got) == [(-8, 2, 1, 1), (-8, 2, 1, 2), (5, 3, 4, 4), (5, 3, 4, 5), (5, 3, 4, 6)]
+        assert len(moved) == 1 and shuffled(moved[0]) < 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
