@@ -27,6 +27,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
 #: Documents in a rounding chunk, on average.
 CHUNK = 512
+#: Bits of a row's copies in a word of the packed copies, and rows of a word.
+COPY_BITS = MOST.bit_length()
+IN_WORD = 64 // COPY_BITS
 #: Newton steps at most, and the relative residual that ends them.
 STEPS, RESIDUAL = 60, 1e-9
 
@@ -133,16 +136,32 @@ def mixed(docs: DataFrame, text_col: str = "text", weights: tuple[float, ...] =
     return out.select("row_id", "doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def _shift(row: str) -> str:
+    return f"cast({row} % {IN_WORD} AS int) * {COPY_BITS}"
+
+
+def packed_copies(rows: DataFrame, word: str, bits: str) -> DataFrame:
+    """(word, bits) from (row_id, copies): COPY_BITS for each of IN_WORD rows of consecutive ids, words without a copy left out.
+
+    This is a thirtieth of a table by row, so that Spark can broadcast it, and
+    keep the texts where they are, for so many more documents.
+    """
+    of = rows.where("copies > 0").groupBy(F.expr(f"row_id div {IN_WORD}").alias(word))
+    return durable(of.agg(F.expr(f"bit_or(shiftleft(copies, {_shift('row_id')}))").alias(bits)))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as many times as it is taken, with its own columns, whatever their names.
 
     Rows of size 0 (null, empty and blank texts) stay once; equal rows are
     rounded separately; a null source is a source. No rows give no rows.
     """
-    row, copy = unused(docs, "_row"), unused(docs, "_copy")
+    row, word, bits = unused(docs, "_row"), unused(docs, "_word"), unused(docs, "_bits")
     own = numbered(docs, row)
-    copies = durable(mixed(own, row_id=F.col(row)).where("copies > 0").select(F.col("row_id").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(copy)))
-    return own.join(copies, row).withColumn(copy, F.explode(copy)).select(own_columns(docs))
+    copies = packed_copies(mixed(own, row_id=F.col(row)), word, bits)
+    many = F.expr(f"cast(shiftrightunsigned({bits}, {_shift(row)}) & {(1 << COPY_BITS) - 1} AS int)")
+    taken = own.join(copies, F.expr(f"{row} div {IN_WORD}") == F.col(word))
+    return taken.withColumn(word, F.explode(F.array_repeat(F.lit(1), many))).select(own_columns(docs))
 
 
 def op10_entropy_mixing(spark, sf_dir: str) -> DataFrame:
