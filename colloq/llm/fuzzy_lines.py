@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bayes_dedup import _linked, banded_components, edge_batch, tiles_links
-from .common import Generations, durable, lean, mix, release, text_batches
+from .common import Generations, durable, forget, lean, mix, release, text_batches
 
 #: Characters in a shingle; bands and rows of the signature; links need 100 * intersection >= PERCENT * union.
 CHARS, BANDS, ROWS, PERCENT, TILE = 5, 12, 5, 80, 192
@@ -93,13 +93,17 @@ def _sets(lines: list[str]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, part in _runs(lines):
         own, h = _hashes(part)
-        order = np.lexsort((h, own))
-        own, h = own[order], h[order]
+        if (own[1:] < own[:-1]).any():  # lines shorter than a shingle come last
+            order = np.argsort(own, kind="stable")
+            own, h = own[order], h[order]
+        bounds = np.searchsorted(own, np.arange(len(part) + 1, dtype=np.uint64))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            h[a:b].sort()
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-        bounds = np.searchsorted(own[fresh], np.arange(len(part) + 1, dtype=np.uint64))
+        at = np.concatenate([[0], np.cumsum(fresh)])[bounds].tolist()
         h = h[fresh]
-        out += [h[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        out += [h[a:b] for a, b in zip(at[:-1], at[1:])]
     return out
 
 
@@ -184,17 +188,18 @@ def _lines(batches):
 
 
 def _bodies(batches):
-    """(text, wanted lines with their keys) to (rep, body); a line with another key is of another row with the same doc_id."""
+    """(text, wanted lines with their keys, again) to (rep, body, again); a line with another key is of another row with the same doc_id."""
     for batch in batches:
-        reps, out = [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        reps, out, marks = [], [], []
+        for text, wanted, again in zip(*(c.to_pylist() for c in batch.columns)):
             lines = _own_lines(text)
             for w in wanted:
                 line = lines[w["line_no"]] if w["line_no"] < len(lines) else ""
                 if line and np.frombuffer(_digest(line), "<i8").tolist() == [w["hi"], w["lo"]]:
                     reps.append(w["node"])
                     out.append(line)
-        yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(out, pa.string())], ["rep", "body"])
+                    marks.append(again)
+        yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(out, pa.string()), pa.array(marks, pa.bool_())], ["rep", "body", "again"])
 
 
 def _pairs(percent: int):
@@ -235,8 +240,10 @@ def _candidates(lines: DataFrame, frequent: list[int], percent: int) -> DataFram
     dealt = rare.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     of = dealt.groupBy("key").agg(F.min("lo").alias("x"), F.max("lo").alias("y"), F.count("*").alias("n"), F.min("size").alias("s"), F.max("size").alias("t"))
     of = of.where((F.col("x") != F.col("y")) & ((F.col("n") > 2) | (101 * F.col("s").cast("long") >= percent * F.col("t").cast("long"))))
-    found = dealt.join(of.select("key").hint("shuffle_hash"), "key", "left_semi").select("key", "lo")
-    return durable(found.unionByName(rows.where(F.col("key").isin(frequent)).select("key", "lo")) if frequent else found)
+    found = dealt.join(of.select("key").hint("shuffle_hash"), "key").select("key", "lo", "size")
+    found = found.unionByName(rows.where(F.col("key").isin(frequent)).select("key", "lo", "size")) if frequent else found
+    # Both sides need the same columns and no semi join, which the planner moves below the exchange: else all band rows are dealt twice.
+    return durable(found).select("key", "lo")
 
 
 def _members(found: DataFrame, nodes: DataFrame, frequent: list[int]) -> DataFrame:
@@ -285,15 +292,20 @@ def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT,
     nodes = known.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     members = _members(found, nodes, frequent)
+    forget(found)
     pairs = durable(_likely(members, nodes, percent))
     # The pair of a bucket of two is judged by now; larger ones may hold links between other members.
     members = durable(members.where("size > 2"))
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select(F.col("rep").alias("node"))).distinct()
     wanted = nodes.join(need, "node", "left_semi").groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "hi", "lo", "node")).alias("wanted"))  # a document's own lines
-    wanted = durable(wanted)
+    # Only rows that repeat a doc_id can give a node's text twice; other texts need not move to be told apart.
+    again = lines.where("line_no = 0 and doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("again")).where("again")
+    wanted = durable(wanted.join(durable(again), "doc_id", "left").withColumn("again", F.coalesce("again", F.lit(False))))
     release(spark)
-    own = texts.where("doc_id is not null").join(wanted, "doc_id").select("text", "wanted")
-    bodies = durable(own.mapInArrow(lean(_bodies), "rep long, body string").dropDuplicates(["rep"]))
+    own = texts.where("doc_id is not null").join(wanted, "doc_id").select("text", "wanted", "again")
+    bodies = durable(own.mapInArrow(lean(_bodies), "rep long, body string, again boolean"))
+    twice = durable(bodies.where("again").dropDuplicates(["rep"]))
+    bodies = bodies.where("not again").unionByName(twice).drop("again")
     release(spark)
     labels = banded_components(members, pairs, bodies, _pairs(percent), tiles_links(percent, [], _unpacked), tile)
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
