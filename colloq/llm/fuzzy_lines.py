@@ -40,7 +40,7 @@ from .common import Generations, durable, forget, lean, mix, release, text_batch
 CHARS, BANDS, ROWS, PERCENT, TILE = 5, 12, 5, 80, 192
 HASHES = BANDS * ROWS
 #: Characters of text that numpy handles at once, and texts that a worker remembers to have signed.
-AT_ONCE, REMEMBERED = 1 << 17, 200_000
+AT_ONCE, REMEMBERED = 1 << 15, 200_000
 #: Lines on which frequent band keys are looked for (one in so many), and the most such keys.
 SAMPLED, MOST_FREQUENT = 64, 2048
 #: Shingles from which a signature is evidence, and how many of its bits may differ.
@@ -49,12 +49,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = np.uint64((1 << 44) - 1)
 
 
-def _runs(lines: list[str]):
-    """Slices of ``lines`` of about AT_ONCE characters, and of under 2**20 lines."""
+def _runs(lines: list[str], most: int = AT_ONCE):
+    """Slices of ``lines`` of about ``most`` characters, and of under 2**20 lines."""
     at = 0
     while at < len(lines):
         end, size = at, 0
-        while end < len(lines) and end - at < 1 << 20 and (end == at or size + len(lines[end]) < AT_ONCE):
+        while end < len(lines) and end - at < 1 << 20 and (end == at or size + len(lines[end]) < most):
             size += len(lines[end])
             end += 1
         yield at, lines[at:end]
@@ -215,8 +215,18 @@ def _pairs(percent: int):
     return run
 
 
-def _unpacked(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
-    return [], [x.tobytes() for x in _sets([r[0] for r in rows])]
+def _tiles(percent: int):
+    """:func:`tiles_links` on lines: their sets are made for some AT_ONCE * 8 characters of rows, not bucket by bucket."""
+    links = tiles_links(percent, [], lambda rows: ([], [r[0] for r in rows]))
+
+    def sets(batches):
+        for batch in batches:
+            names, lines = batch.schema.names, batch.column(batch.num_columns - 1).to_pylist()
+            for at, part in _runs(lines, AT_ONCE * 8):
+                own = pa.array([x.tobytes() for x in _sets(part)], pa.large_binary())
+                yield pa.record_batch([*batch.slice(at, len(part)).columns[:-1], own], names)
+
+    return lambda batches: links(sets(batches))
 
 
 def _frequent(lines: DataFrame) -> list[int]:
@@ -307,7 +317,7 @@ def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT,
     twice = durable(bodies.where("again").dropDuplicates(["rep"]))
     bodies = bodies.where("not again").unionByName(twice).drop("again")
     release(spark)
-    labels = banded_components(members, pairs, bodies, _pairs(percent), tiles_links(percent, [], _unpacked), tile)
+    labels = banded_components(members, pairs, bodies, _pairs(percent), _tiles(percent), tile)
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     named = nodes.select("hi", "lo", "node").join(labels, "node").select("hi", "lo", "component")
     first = durable(lines.where("lo is not null").groupBy("hi", "lo").agg(F.min(order).alias("k")).join(named, ["hi", "lo"], "left"))
