@@ -6,11 +6,13 @@ signature (one hash for each shingle, the least in each bin), which is banded
 for candidates. Every candidate is verified by its exact Jaccard similarity,
 and distributed union-find joins them; the first line of each component stays.
 Equal lines are one node from the start. Before texts are fetched, pairs go
-whose sets differ too much in size, and pairs of long lines whose signatures'
-top bits differ in over UNLIKE of HASHES places: at a similarity of 0.8 six
-differ on average, with a deviation of three, so under one pair in 10,000 is
-lost. Hashes of a short line repeat one another (empty bins borrow), so lines
-under LONG shingles are never judged by their signature.
+whose sets differ too much in size, and pairs of long lines of whose HASHES
+hashes over UNLIKE differ in their top PLANES bits: at a similarity of 0.8
+eleven differ on average, with a deviation of three, so about one pair in
+100,000 is lost. Hashes of a short line repeat one another (empty bins borrow),
+so lines under LONG shingles are never judged by their signature. Lines of a
+bucket are first compared with its lead; of those of a bucket of one tile at
+most, the texts are compared further only if another line is likely too.
 
 Scale: band rows of two numbers are the largest table that is shuffled. Keys
 that a fixed share of the lines has in common are found on a hashed sixty-fourth
@@ -26,15 +28,16 @@ shingle with SQL functions costs more CPU time than the whole operator may take
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bayes_dedup import _linked, banded_components, edge_batch, tiles_links
-from .common import Generations, durable, forget, lean, mix, release, text_batches
+from .common import Generations, durable, forget, lean, marked, mix, release, text_batches
 
 #: Characters in a shingle; bands and rows of the signature; links need 100 * intersection >= PERCENT * union.
 CHARS, BANDS, ROWS, PERCENT, TILE = 5, 12, 5, 80, 192
@@ -43,8 +46,9 @@ HASHES = BANDS * ROWS
 AT_ONCE, REMEMBERED = 1 << 15, 200_000
 #: Lines on which frequent band keys are looked for (one in so many), and the most such keys.
 SAMPLED, MOST_FREQUENT = 64, 2048
-#: Shingles from which a signature is evidence, and how many of its bits may differ.
-LONG, UNLIKE = 80, 17
+#: Shingles from which a signature is evidence, top bits kept of each of its hashes, and how many hashes may differ in them.
+LONG, PLANES, UNLIKE = 80, 4, 25
+SKETCH = [f"k{k}" for k in range(PLANES)]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = np.uint64((1 << 44) - 1)
 
@@ -108,7 +112,7 @@ def _sets(lines: list[str]) -> list[np.ndarray]:
 
 
 def _signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(size, sketch, bands) of non-empty lines: distinct shingles, the top bits of the signature, and BANDS keys each.
+    """(size, sketch, bands) of non-empty lines: distinct shingles, PLANES words of the signature's top bits, and BANDS keys each.
 
     One sort of (line, 44 bits of the hash) orders and counts the shingles; the
     first of each bin is its least. An empty bin takes the next full one's
@@ -134,7 +138,8 @@ def _signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE), parts.shape[:2]).copy()
     for r in range(ROWS):
         key = mix(key * np.uint64(0x9FB21C651E98DF25) + parts[:, :, r])
-    sketch = (sig >> np.uint32(31)).astype(np.int64) @ (np.int64(1) << np.arange(HASHES, dtype=np.int64))
+    places = np.int64(1) << np.arange(HASHES, dtype=np.int64)
+    sketch = np.stack([(sig >> np.uint32(31 - k) & np.uint32(1)).astype(np.int64) @ places for k in range(PLANES)], 1)
     return size, sketch, key.view(np.int64)
 
 
@@ -148,7 +153,7 @@ def _digest(line: str) -> bytes:
 
 
 def _lines(batches):
-    """(doc_id, text) to a row for each line: doc_id, line_no, n_chars, hi, lo, size, sketch, bands.
+    """(doc_id, text) to a row for each line: doc_id, line_no, n_chars, hi, lo, size, the words of the sketch, bands.
 
     hi and lo are the key of the text, null for a blank line. A text's size,
     sketch and bands come with its first line in a worker, and again when the worker has
@@ -172,7 +177,7 @@ def _lines(batches):
         n = len(doc)
         if not n:
             continue
-        sets, sketch, bands = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, BANDS), np.int64)
+        sets, sketch, bands = np.zeros(n, np.int64), np.zeros((n, PLANES), np.int64), np.zeros((n, BANDS), np.int64)
         place = np.array(at, np.int64)
         for lo, part in _runs(fresh):
             own = place[lo : lo + len(part)]
@@ -183,8 +188,8 @@ def _lines(batches):
         old[place] = False
         offsets = np.concatenate([[0], np.cumsum(~old) * BANDS]).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[~old].ravel()), mask=pa.array(old))
-        columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int64()), pa.array(size, pa.int64()), pa.array(whole[:, 0], mask=blank), pa.array(whole[:, 1], mask=blank), pa.array(sets, mask=old), pa.array(sketch, mask=old), listed]
-        yield pa.record_batch(columns, ["doc_id", "line_no", "n_chars", "hi", "lo", "size", "sketch", "bands"])
+        columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int64()), pa.array(size, pa.int64()), pa.array(whole[:, 0], mask=blank), pa.array(whole[:, 1], mask=blank), pa.array(sets, mask=old), *[pa.array(sketch[:, k], mask=old) for k in range(PLANES)], listed]
+        yield pa.record_batch(columns, ["doc_id", "line_no", "n_chars", "hi", "lo", "size", *SKETCH, "bands"])
 
 
 def _bodies(batches):
@@ -257,29 +262,42 @@ def _candidates(lines: DataFrame, frequent: list[int], percent: int) -> DataFram
 
 
 def _members(found: DataFrame, nodes: DataFrame, frequent: list[int]) -> DataFrame:
-    """(key, size, lead, rep) of candidates (key, lo) by node; a rare key's rows meet in one task, a frequent key's are combined before they move."""
+    """(key, n, lead, rep) of candidates (key, lo) by node, lead and rep with size and sketch; a rare key's rows meet in one task, a frequent key's are combined before they move."""
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = found.join(nodes.select("lo", F.col("node").alias("rep")), "lo").select("key", "rep")
+    # Merged at every size: as a broadcast it would move nothing on small tables only.
+    placed = found.join(nodes.select("lo", F.col("node").alias("id"), "size", *SKETCH).hint("merge"), "lo").drop("lo")
     if frequent:
         placed = durable(placed)
+    rep = F.struct("id", "size", *SKETCH)
     rare = placed.where(~F.col("key").isin(frequent)) if frequent else placed
-    w = Window.partitionBy("key")
-    out = rare.repartition(parts, "key").dropDuplicates(["key", "rep"]).select("key", F.count("*").over(w).alias("size"), F.min("rep").over(w).alias("lead"), "rep").where("size > 1")
+    w = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = rare.repartition(parts, "key").distinct().select("key", F.count("*").over(w).alias("n"), F.first(rep).over(w).alias("lead"), rep.alias("rep")).where("n > 1")
     if frequent:
         own = durable(placed.where(F.col("key").isin(frequent)).distinct())
-        of = own.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead"))
-        out = out.unionByName(own.join(F.broadcast(of), "key").select("key", "size", "lead", "rep").where("size > 1"))  # MOST_FREQUENT rows at most
+        of = own.groupBy("key").agg(F.count("*").alias("n"), F.min(rep).alias("lead"))
+        out = out.unionByName(own.join(F.broadcast(of), "key").select("key", "n", "lead", rep.alias("rep")).where("n > 1"))  # MOST_FREQUENT rows at most
     return durable(out)
 
 
-def _likely(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of every member and the lead of its bucket, without the pairs that their sizes or signatures rule out."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"s{name}"), F.col("sketch").alias(f"k{name}"))
-    pairs = members.where("rep != lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    least, most = F.least("sa", "sb"), F.greatest("sa", "sb")
-    unlike = (least >= LONG) & (F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) > UNLIKE)
-    return both.where((101 * least >= percent * most) & ~unlike).select("a", "b")
+def _likely(a: str, b: str, percent: int) -> Column:
+    """False where the sizes or the signatures of two texts rule their link out."""
+    least, most = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+    other = reduce(Column.bitwiseOR, [F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}")) for k in SKETCH])
+    return (101 * least >= percent * most) & ((least < LONG) | (F.bit_count(other) <= UNLIKE))
+
+
+def _unjudged(members: DataFrame, percent: int, tile: int) -> DataFrame:
+    """(key, size, rep) of the rows of ``members`` that may link with others than their bucket's lead.
+
+    In a bucket of one tile at most these have a likely partner which is not
+    the lead either; larger ones stay whole, so the rows looked at for one are
+    under ``tile``.
+    """
+    small = members.where((F.col("n") > 2) & (F.col("n") <= tile) & (F.col("rep.id") != F.col("lead.id"))).select("key", "n", "rep")
+    x, y = small.alias("x"), small.hint("merge").alias("y")
+    like = (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.rep.id") != F.col("y.rep.id")) & _likely("x.rep", "y.rep", percent)
+    found = x.join(y, like, "left_semi").unionByName(members.where((F.col("n") > 2) & (F.col("n") > tile)).select("key", "n", "rep"))
+    return durable(found.select("key", F.col("n").alias("size"), F.col("rep.id").alias("rep")))
 
 
 def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -293,37 +311,39 @@ def fuzzy_lines(docs: DataFrame, text_col: str = "text", percent: int = PERCENT,
     """
     spark = docs.sparkSession
     texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = durable(texts.mapInArrow(lean(_lines), "doc_id long, line_no long, n_chars long, hi long, lo long, size long, sketch long, bands array<long>"))
+    lines = durable(texts.mapInArrow(lean(_lines), "doc_id long, line_no long, n_chars long, hi long, lo long, size long, " + "".join(f"{k} long, " for k in SKETCH) + "bands array<long>"))
     frequent = _frequent(lines)
     found = _candidates(lines, frequent, percent)
     release(spark)
     # Two texts with one lo are two nodes: lo only finds candidates.
-    known = lines.where("doc_id is not null").select("hi", "lo", "doc_id", "line_no", "size", "sketch").join(found.select("lo").distinct(), "lo", "left_semi")
-    nodes = known.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
+    known = marked(lines.where("doc_id is not null").select("hi", "lo", "doc_id", "line_no", "size", *SKETCH), found, "lo")  # some others stay, as nodes without a bucket
+    nodes = known.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), *[F.max(c).alias(c) for c in ("size", *SKETCH)])
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     members = _members(found, nodes, frequent)
     forget(found)
-    pairs = durable(_likely(members, nodes, percent))
-    # The pair of a bucket of two is judged by now; larger ones may hold links between other members.
-    members = durable(members.where("size > 2"))
+    pairs = durable(members.where((F.col("rep.id") != F.col("lead.id")) & _likely("rep", "lead", percent)).select(F.col("rep.id").alias("a"), F.col("lead.id").alias("b")).distinct())
+    placed, members = members, _unjudged(members, percent, tile)
+    forget(placed)
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select(F.col("rep").alias("node"))).distinct()
     wanted = nodes.join(need, "node", "left_semi").groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "hi", "lo", "node")).alias("wanted"))  # a document's own lines
     # Only rows that repeat a doc_id can give a node's text twice; other texts need not move to be told apart.
     again = lines.where("line_no = 0 and doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("again")).where("again")
     wanted = durable(wanted.join(durable(again), "doc_id", "left").withColumn("again", F.coalesce("again", F.lit(False))))
     release(spark)
-    own = texts.where("doc_id is not null").join(wanted, "doc_id").select("text", "wanted", "again")
+    # Merged at every size, here and for the bodies: what large tables need is what small ones show.
+    own = texts.where("doc_id is not null").join(wanted.hint("merge"), "doc_id").select("text", "wanted", "again")
     bodies = durable(own.mapInArrow(lean(_bodies), "rep long, body string, again boolean"))
     twice = durable(bodies.where("again").dropDuplicates(["rep"]))
-    bodies = bodies.where("not again").unionByName(twice).drop("again")
+    bodies = bodies.where("not again").unionByName(twice).drop("again").hint("merge")
     release(spark)
     labels = banded_components(members, pairs, bodies, _pairs(percent), _tiles(percent), tile)
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     named = nodes.select("hi", "lo", "node").join(labels, "node").select("hi", "lo", "component")
-    first = durable(lines.where("lo is not null").groupBy("hi", "lo").agg(F.min(order).alias("k")).join(named, ["hi", "lo"], "left"))
+    first = lines.where("lo is not null").groupBy("hi", "lo").agg(F.min(order).alias("k"), F.count("*").alias("n")).join(named, ["hi", "lo"], "left")
+    first = durable(first.where("n > 1 or component is not null").drop("n"))  # any other line stands for itself
     least = first.where("component is not null").groupBy("component").agg(F.min("k").alias("_k"))
     first = first.join(least, "component", "left").select("hi", "lo", F.coalesce("_k", "k").alias("k"))
-    out = lines.drop("size", "sketch", "bands").join(first, ["hi", "lo"], "left")
+    out = lines.drop("size", *SKETCH, "bands").join(first, ["hi", "lo"], "left")
     kept = F.col("k").isNull() | (F.col("doc_id").eqNullSafe(F.col("k.d")) & (F.col("line_no") == F.col("k.l")))
     mine = lambda c, own: F.when(F.col("k").isNull(), F.col(own)).otherwise(F.col(f"k.{c}")).alias(f"keep_{own}")
     return out.select("doc_id", "line_no", "n_chars", mine("d", "doc_id"), mine("l", "line_no"), kept.alias("kept"))
