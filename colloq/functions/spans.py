@@ -1,35 +1,45 @@
 """Matches with their places in a text, and what is done with overlapping ones.
 
 Spark has no "all matches with offsets"; the texts between matches (split) and
-the matches themselves give offsets as running lengths, in one pass each and
-without Python. Offsets are code points from 0.
+the matches themselves give offsets as running lengths, in one pass each.
+Only the running sums of lengths are made in Arrow batches; texts stay where
+they are. Offsets are code points from 0.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 TOKEN = r"[\p{L}\p{N}_\p{M}]+"
 SENTENCE_END = r"[.!?؟।]+\s+|\n+"
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _running(lengths: pd.Series) -> pd.Series:
+    return lengths.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int32))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) of the matches, left to right; for patterns with few matches in a text."""
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
 
-    def build(pair):
-        h, g = pair["h"], pair["g"]
-        seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    def build(h, g):
+        seed = F.struct(F.lit(0).alias("at"), none.alias("out"))
         step = lambda acc, i: F.struct(
             (acc["at"] + F.length(g[i]) + F.length(h[i])).alias("at"),
             F.array_append(acc["out"], F.struct((acc["at"] + F.length(g[i])).alias("start"), (acc["at"] + F.length(g[i]) + F.length(h[i])).alias("end"), h[i].alias("text"))).alias("out"),
         )
-        return F.when(F.size(h) == 0, seed["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(h) - 1), seed, step, lambda acc: acc["out"]))
+        return F.aggregate(F.sequence(F.lit(0), F.size(h) - 1), seed, step, lambda acc: acc["out"])
 
-    return F.transform(F.array(F.struct(hits.alias("h"), gaps.alias("g"))), build)[0]
+    # a text without a match is not split
+    placed = lambda h: F.transform(F.array(F.split(text, pattern, -1)), lambda g: build(h, g))[0]
+    return F.transform(F.array(hits), lambda h: F.when(F.size(h) == 0, none).otherwise(placed(h)))[0]
 
 
 def words(df: DataFrame, text: str = "text", pattern: str = TOKEN, *keep: str) -> DataFrame:
@@ -37,27 +47,30 @@ def words(df: DataFrame, text: str = "text", pattern: str = TOKEN, *keep: str) -
     return df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))).alias("pos", "token"))
 
 
-def tokens(df: DataFrame, text: str = "text", pattern: str = TOKEN, *keep: str) -> DataFrame:
-    """One row per token: the kept columns, pos, start, end, token.
+def tokens(df: DataFrame, text: str = "text", pattern: str = TOKEN, *keep: str, ahead: int = 0) -> DataFrame:
+    """One row per token: the kept columns, pos, start, end, token; with ``ahead`` also the tokens that follow and their ends as token_1, end_1, ...
 
-    Offsets are a running sum over a text's own pieces; as a window it is
-    linear in the tokens of a text, where growing an array would be quadratic.
+    Offsets are running sums over a text's own pieces, so no token is dealt or sorted.
     """
     hits, gaps = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1)), F.split(F.col(text), pattern, -1)
-    own = df.select(*keep, F.monotonically_increasing_id().alias("_row"), F.arrays_zip(gaps.alias("g"), hits.alias("h")).alias("_x"))
-    rows = own.select(*keep, "_row", F.posexplode("_x").alias("pos", "x")).where("x.h is not null")
-    end = F.sum(F.length("x.g") + F.length("x.h")).over(Window.partitionBy("_row").orderBy("pos")).cast("int")
-    return rows.withColumn("end", end).select(*keep, "pos", (F.col("end") - F.length("x.h")).alias("start"), "end", F.col("x.h").alias("token"))
+    own = df.select(*keep, hits.alias("_h"), gaps.alias("_g"))
+    own = own.select(*keep, "_h", _running(F.zip_with("_g", "_h", lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))).alias("_e"))
+    later = lambda c, i: F.slice(c, i + 1, F.greatest(F.size("_h") - i, F.lit(0)))
+    zipped = [later("_e", 0).alias("end"), F.col("_h").alias("token")]
+    for i in range(1, ahead + 1):
+        zipped += [later("_e", i).alias(f"end_{i}"), later("_h", i).alias(f"token_{i}")]
+    rows = own.select(*keep, F.posexplode(F.arrays_zip(*zipped)).alias("pos", "x"))
+    more = [F.col(f"x.{name}_{i}") for i in range(1, ahead + 1) for name in ("token", "end")]
+    return rows.select(*keep, "pos", (F.col("x.end") - F.length("x.token")).alias("start"), "x.end", "x.token", *more)
 
 
 def sentence_rows(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per sentence: the kept columns, start, sentence. Linear in the sentences of a text; blank ones are left out."""
     ends, pieces = F.regexp_extract_all(F.col(text), F.lit(f"({SENTENCE_END})"), F.lit(1)), F.split(F.col(text), SENTENCE_END, -1)
-    own = df.select(*keep, F.monotonically_increasing_id().alias("_row"), F.arrays_zip(pieces.alias("g"), ends.alias("h")).alias("_x"))
-    rows = own.select(*keep, "_row", F.posexplode("_x").alias("_pos", "x"))
-    before = F.sum(F.length("x.g") + F.coalesce(F.length("x.h"), F.lit(0))).over(Window.partitionBy("_row").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1))
-    cut = rows.select(*keep, F.coalesce(before, F.lit(0)).cast("int").alias("start"), F.regexp_replace("x.g", r"(?U)^\s+|\s+$", "").alias("sentence"))
-    return cut.where("sentence <> ''")
+    own = df.select(*keep, ends.alias("_h"), pieces.alias("_g"))
+    own = own.select(*keep, "_g", _running(F.zip_with("_g", "_h", lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))).alias("_e"))
+    rows = own.select(*keep, F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("_e", 1, F.size("_e") - 1)).alias("start"), F.col("_g").alias("g"))).alias("x"))
+    return rows.select(*keep, "x.start", F.regexp_replace("x.g", r"(?U)^\s+|\s+$", "").alias("sentence")).where("sentence <> ''")
 
 
 def sentence_texts(text: Column) -> Column:
@@ -88,3 +101,18 @@ def keep_disjoint(spans: Column, order: Column | None = None) -> Column:
     overlaps = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     step = lambda acc, x: F.when(F.exists(acc, lambda y: overlaps(x, y)), acc).otherwise(F.array_append(acc, x))
     return F.aggregate(spans, F.filter(spans, lambda x: F.lit(False)), step)
+
+
+def disjoint_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """:func:`keep_disjoint` of each key's rows (start, end, ...) in the order of the columns ``order``, which come first in the result.
+
+    Only spans of one island, a run of spans that overlap their neighbours, can
+    be in each other's way; the choice is made by island, so its work grows
+    with the spans of a text and not with their square.
+    """
+    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    apart = rows.withColumn("_new", F.when(F.col("start") < F.max("end").over(before), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(upto))
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    found = F.array_sort(F.collect_list(F.struct(*order, *rest)))
+    return apart.groupBy(*keys, "_island").agg(found.alias("_s")).select(*keys, F.inline(keep_disjoint(F.col("_s"))))

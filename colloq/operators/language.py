@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,25 +23,37 @@ def lexicon(spark: SparkSession) -> DataFrame:
 def lexicon_hits(df: DataFrame, lex: DataFrame, key: str, text: str = "text", pattern: str = ARABIC_RUN, most_words: int = 2) -> DataFrame:
     """(key, type, text, start, end, confidence) of whole-token matches; one hash join stands for a regex per term.
 
-    Terms of several words are matched on n-grams of neighbouring tokens.
+    Tokens hold no spaces: a term is found by its first word, and those of
+    several words are then compared with the neighbouring tokens.
     """
-    t = spans.tokens(df, text, pattern, key)
-    w = Window.partitionBy(key).orderBy("pos")
-    grams = t.select(key, "start", "end", "token", F.lit(1).alias("n_words"))
+    t = spans.tokens(df, text, pattern, key, ahead=most_words - 1)
+    terms = lex.select(F.split("term", " ")[0].alias("_first"), F.col("term").alias("_term"), F.col("n_words").alias("_n"), "type", "confidence")
+    gram, end = F.col("token"), F.col("end")
     for n in range(2, most_words + 1):
-        words = F.concat_ws(" ", *[F.col("token") if i == 0 else F.lead("token", i).over(w) for i in range(n)])
-        grams = grams.unionByName(t.select(key, "start", F.lead("end", n - 1).over(w).alias("end"), words.alias("token"), F.lit(n).alias("n_words")).where("end is not null"))
-    return grams.join(lex, (grams["token"] == lex["term"]) & (grams["n_words"] == lex["n_words"])).select(key, "type", F.col("token").alias("text"), "start", "end", "confidence")
+        words = F.when(F.col(f"token_{n - 1}").isNotNull(), F.concat_ws(" ", "token", *[f"token_{i}" for i in range(1, n)]))
+        gram, end = F.when(F.col("_n") == n, words).otherwise(gram), F.when(F.col("_n") == n, F.col(f"end_{n - 1}")).otherwise(end)
+    found = t.join(terms, (t["token"] == terms["_first"]) & F.col("_n").between(1, most_words)).where(gram == F.col("_term"))
+    return found.select(key, "type", F.col("_term").alias("text"), "start", end.alias("end"), "confidence")
+
+
+def _needs(pattern: str) -> str:
+    """What a text with a match of this rule must hold: an Arabic letter if one is left when optional groups are out, else an at sign or a digit (no rule has other ways around them)."""
+    must = re.sub(r"\(\?:[^()]*\)\?", "", pattern)
+    return "[؀-ۿ]" if re.search("[؀-ۿ]", must) else "@" if "@" in must else r"\p{Nd}"
 
 
 def pattern_hits(df: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """(key, type, text, start, end, confidence) of the pattern rules."""
+    """(key, type, text, start, end, confidence) of the pattern rules; a rule passes over texts that lack what it needs."""
     def typed(kind: str, confidence: float, pattern: str) -> Column:
         row = lambda x: F.struct(F.lit(kind).alias("type"), x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), F.lit(confidence).alias("confidence"))
-        return F.transform(spans.find_all(F.col(text), pattern), row)
+        return F.transform(spans.find_all(F.col("_t"), pattern), row)
 
-    found = [typed(*rule) for rule in lexicons.PATTERNS if kinds is None or rule[0] in kinds]
-    return df.select(key, F.inline(F.flatten(F.array(*found))))
+    rules = [rule for rule in lexicons.PATTERNS if kinds is None or rule[0] in kinds]
+    needs = sorted({_needs(rule[2]) for rule in rules})
+    none = F.array().cast("array<struct<type:string,text:string,start:int,end:int,confidence:double>>")
+    found = [F.when(F.col(f"_has_{needs.index(_needs(rule[2]))}"), typed(*rule)).otherwise(none) for rule in rules]
+    own = df.select(key, F.col(text).alias("_t"), *[F.col(text).rlike(x).alias(f"_has_{i}") for i, x in enumerate(needs)])
+    return own.select(key, F.inline(F.flatten(F.array(*found))))
 
 
 def normalized(kind: Column, text: Column) -> Column:
@@ -75,26 +89,46 @@ def organization_spans(text: Column) -> Column:
     return F.concat(*out, hospital)
 
 
-def _refined(text: Column, names: list[str], indicators: list[str]):
-    """A span as its surroundings have it: a name takes a following name, a place after an indicator is surer, a kunya ends before punctuation."""
+#: Code points in a piece of a text, so that the surroundings of a span are found without reading the text from its start.
+PIECE = 256
+
+
+def _near(text: Column, pieces: Column):
+    """A span with what lies around it: ``off``, and ``near``, the text from there to a piece or more beyond the span's end.
+
+    White space and a word that go on beyond that are followed to the end of the text.
+    """
+
+    def look(s):
+        first = F.floor(F.greatest(F.lit(0), s["start"] - 15) / PIECE).cast("int")
+        own = F.struct((first * PIECE).alias("off"), F.array_join(F.slice(pieces, first + 1, F.floor(s["end"] / PIECE).cast("int") + 2 - first), "").alias("near"))
+
+        def whole(o):
+            here = s["end"] - o["off"]
+            cut = F.substring(o["near"], here + 1, F.length(o["near"])).rlike(r"(?U)^\s+\S*$") & (s["type"] == "PERSON") & (s["source"] == "dictionary")
+            return F.struct(*[s[c].alias(c) for c in ("type", "text", "start", "end", "confidence", "source")], o["off"].alias("off"), F.when(cut, F.substring(text, o["off"] + 1, F.length(text))).otherwise(o["near"]).alias("near"))
+
+        return F.transform(F.array(own), whole)[0]
+
+    return look
 
-    def refine(s):
-        tail = F.substring(text, s["end"] + 1, F.length(text))
-        after = F.regexp_extract(tail, r"(?U)^\s+\S+", 0)
-        word = F.regexp_replace(F.regexp_replace(after, r"(?U)^\s+", ""), "^[.,؛،]+|[.,؛،]+$", "")
-        dictionary = s["source"] == "dictionary"
-        longer = (s["type"] == "PERSON") & dictionary & F.array_contains(F.array(*map(F.lit, names)), word)
-        before = tx.strip_space(F.substring(text, F.greatest(F.lit(1), s["start"] - 4), F.least(F.lit(5), s["start"])))
-        told = F.lit(False)
-        for word_ in indicators:
-            told = told | before.endswith(word_)
-        kunya = (s["type"] == "PERSON") & ~dictionary
-        content = F.when(longer, F.concat(s["text"], after)).when(kunya, F.regexp_replace(s["text"], "[.,؛،!?؟]+$", "")).otherwise(s["text"])
-        sure = F.when((s["type"] == "LOCATION") & dictionary & told, F.greatest(s["confidence"], F.lit(0.90))).otherwise(s["confidence"])
-        end = s["start"] + F.length(content)
-        return F.struct((-F.length(content)).alias("neg"), (-sure).alias("nc"), s["start"].alias("start"), end.alias("end"), s["type"].alias("type"), content.alias("text"), sure.alias("confidence"), s["source"].alias("source"), spans.context(text, s["start"], end).alias("context"))
 
-    return refine
+def _refined(found: DataFrame, keep: list[str], names: list[str], indicators: list[str]) -> DataFrame:
+    """Spans as their surroundings have them: a name takes a following name, a place after an indicator is surer, a kunya ends before punctuation."""
+    at, near = F.col("start") - F.col("off"), F.col("near")
+    tail = F.substring(near, F.col("end") - F.col("off") + 1, F.length(near))
+    own = found.withColumn("_after", F.regexp_extract(tail, r"(?U)^\s+\S+", 0))
+    word = F.regexp_replace(F.regexp_replace("_after", r"(?U)^\s+", ""), "^[.,؛،]+|[.,؛،]+$", "")
+    person, dictionary = F.col("type") == "PERSON", F.col("source") == "dictionary"
+    before = tx.strip_space(F.substring(near, F.greatest(F.lit(1), at - 4), F.least(F.lit(5), F.col("start"))))
+    told = F.lit(False)
+    for word_ in indicators:
+        told = told | before.endswith(word_)
+    content = F.when(person & dictionary & word.isin(names), F.concat("text", "_after")).when(person & ~dictionary, F.regexp_replace("text", "[.,؛،!?؟]+$", "")).otherwise(F.col("text"))
+    sure = F.when((F.col("type") == "LOCATION") & dictionary & told, F.greatest("confidence", F.lit(0.90))).otherwise(F.col("confidence"))
+    own = own.select(*keep, "type", content.alias("text"), "start", sure.alias("confidence"), "source", at.alias("_at"), "near")
+    end = F.col("_at") + F.length("text")
+    return own.select(*keep, (-F.length("text")).alias("neg"), (-F.col("confidence")).alias("nc"), "start", (F.col("start") + F.length("text")).alias("end"), "type", "text", "confidence", "source", spans.context(near, F.col("_at"), end).alias("context"))
 
 
 def entities(df: DataFrame, key: str, lex: DataFrame | None = None, text: str = "text", names: list[str] | None = None, indicators: list[str] | None = None) -> DataFrame:
@@ -110,12 +144,13 @@ def entities(df: DataFrame, key: str, lex: DataFrame | None = None, text: str =
     indicators = lexicons.LOCATION_INDICATORS if indicators is None else indicators
     runs, words = lex.where(F.col("type").isin("PERSON", "LOCATION")), lex.where(~F.col("type").isin("PERSON", "LOCATION"))
     listed = lexicon_hits(df, runs, key, text).unionByName(lexicon_hits(df, words, key, text, WORD_RUN, 2)).withColumn("source", F.lit("dictionary"))
-    every = listed.unionByName(pattern_hits(df, key, text).withColumn("source", F.lit("rule"))).unionByName(df.select(key, F.inline(organization_spans(F.col(text)))))
+    places = df.where(F.col(text).rlike("[؀-ۿ]")).select(key, F.inline(organization_spans(F.col(text))))  # the heads are Arabic words
+    every = listed.unionByName(pattern_hits(df, key, text).withColumn("source", F.lit("rule"))).unionByName(places)
     found = every.groupBy(key).agg(F.collect_list(F.struct("type", "text", "start", "end", "confidence", "source")).alias("_s"))
-    own = found.join(df.select(key, F.col(text).alias("_t")), key)
-    order = F.array_sort(F.transform("_s", _refined(F.col("_t"), names, indicators)))
-    kept = own.select(key, F.inline(spans.keep_disjoint(order))).drop("neg", "nc")
-    return kept.withColumn("normalized", normalized(F.col("type"), F.col("text")))
+    cut = df.select(key, F.col(text).alias("_t")).join(found, key).withColumns({"_p": F.regexp_extract_all("_t", F.lit(rf"(?s)(.{{1,{PIECE}}})"), F.lit(1)), "_row": F.monotonically_increasing_id()})
+    own = cut.select(key, "_row", F.inline(F.transform("_s", _near(F.col("_t"), F.col("_p")))))
+    kept = spans.disjoint_rows(_refined(own, [key, "_row"], names, indicators), [key, "_row"], ["neg", "nc", "start", "end", "type", "text", "confidence", "source", "context"])
+    return kept.select(key, "start", "end", "type", "text", "confidence", "source", "context").withColumn("normalized", normalized(F.col("type"), F.col("text")))
 
 
 def entity_totals(ents: DataFrame, key: str) -> DataFrame:
@@ -244,8 +279,8 @@ def watchlist_hits(df: DataFrame, variants: DataFrame, key: str, text: str = "te
     """(key, term, text, start, end): from left to right the longest match, then none that overlaps it."""
     lex = variants.select(F.col("variant").alias("term"), F.col("term").alias("type"), F.lit(1.0).alias("confidence"), F.size(F.split("variant", " ")).alias("n_words"))
     hits = lexicon_hits(df, lex, key, text, pattern, most_words)
-    order = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg"), "end", F.col("type").alias("term"), "text")))
-    return hits.groupBy(key).agg(spans.keep_disjoint(order).alias("s")).select(key, F.inline("s")).drop("neg")
+    rows = hits.select(key, "start", (-F.col("end")).alias("neg"), "end", F.col("type").alias("term"), "text")
+    return spans.disjoint_rows(rows, [key], ["start", "neg", "end", "term", "text"]).drop("neg")
 
 
 def verb_lexicon(spark: SparkSession) -> DataFrame:
@@ -277,13 +312,20 @@ def events(df: DataFrame, ents: DataFrame, key: str, text: str = "text", verbs:
     """One row per verb: its sentence, action, and the entities that begin in that sentence."""
     verbs = verbs if verbs is not None else verb_lexicon(df.sparkSession)
     s = spans.sentence_rows(df, text, key).withColumnRenamed("start", "sentence_start")
-    s = s.withColumn("sentence_end", F.col("sentence_start") + F.length("sentence")).withColumn("_sid", F.struct(key, "sentence_start"))
-    v = verb_hits(s.select("_sid", F.col("sentence").alias("_s")), verbs, "_sid", "_s")
+    # a sentence goes with its verbs, so that it need not be joined to them
+    v = verb_hits(s.select(F.struct(key, "sentence_start", "sentence").alias("_sid"), F.col("sentence").alias("_s")), verbs, "_sid", "_s")
+    v = v.select("_sid.*", F.col("start").alias("verb_at"), "verb", "action")
     e = ents.select(F.col(key).alias("_k"), F.col("start").alias("_at"), F.col("type").alias("_type"), F.col("normalized").alias("_name"))
-    inside = (F.col(key) == F.col("_k")) & (F.col("_at") >= F.col("sentence_start")) & (F.col("_at") < F.col("sentence_end"))
+    told = v.select(F.col(key).alias("_k"), F.col("sentence_start").alias("_at"), F.struct(F.col("sentence_start").alias("start"), (F.col("sentence_start") + F.length("sentence")).alias("end")).alias("_in")).distinct()
+    # sentences lie one after another: the last one with a verb that begins at or before an entity holds it, or none does
+    both = e.withColumn("_in", F.lit(None).cast(told.schema["_in"].dataType)).unionByName(told, allowMissingColumns=True)
+    w = Window.partitionBy("_k").orderBy("_at", F.col("_type").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("_in", F.last("_in", ignorenulls=True).over(w)).where(F.col("_type").isNotNull() & (F.col("_at") < F.col("_in.end")))
     pick = lambda *kinds: F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("_type").isin(*kinds), F.col("_name")))))
-    by = s.join(e, inside, "left").groupBy(key, "_sid", "sentence", "sentence_start").agg(pick("PERSON").alias("actors"), pick("LOCATION").alias("locations"), pick("DATE", "TIME").alias("times"))
-    out = by.join(v.select("_sid", F.col("start").alias("verb_at"), "verb", "action"), "_sid").drop("_sid")
+    by = held.groupBy("_k", F.col("_in.start").alias("_start")).agg(pick("PERSON").alias("actors"), pick("LOCATION").alias("locations"), pick("DATE", "TIME").alias("times"))
+    out = v.join(by, (F.col(key) == F.col("_k")) & (F.col("sentence_start") == F.col("_start")), "left").drop("_k", "_start")
+    empty = F.array().cast("array<string>")
+    out = out.select(key, "sentence", "sentence_start", *[F.coalesce(c, empty).alias(c) for c in ("actors", "locations", "times")], "verb_at", "verb", "action")
     parts = (F.size("actors") > 0).cast("int") + (F.size("locations") > 0).cast("int") + (F.size("times") > 0).cast("int")
     out = out.withColumn("confidence", F.round(F.lit(0.5) + F.least(0.12 * parts, F.lit(0.45)), 3)).withColumn("objects", objects_after(F.col("sentence"), F.col("verb_at")))
     return out.where(F.size("actors") >= least_actors)
