@@ -139,7 +139,7 @@ def entities(df: DataFrame, key: str, lex: DataFrame | None = None, text: str =
     months and organisations are matched as whole words, persons and places as
     whole runs of the Arabic block, as the lexicon's types say.
     """
-    lex = lex if lex is not None else lexicon(df.sparkSession)
+    lex = lex if lex is not None else F.broadcast(lexicon(df.sparkSession))
     names = lexicons.FAMILY_NAMES + lexicons.FIRST_NAMES if names is None else names
     indicators = lexicons.LOCATION_INDICATORS if indicators is None else indicators
     runs, words = lex.where(F.col("type").isin("PERSON", "LOCATION")), lex.where(~F.col("type").isin("PERSON", "LOCATION"))
@@ -289,8 +289,9 @@ def verb_lexicon(spark: SparkSession) -> DataFrame:
 
 
 def verb_hits(df: DataFrame, verbs: DataFrame, key: str, text: str = "text", pattern: str = ARABIC_RUN) -> DataFrame:
+    """(key, start, end, verb, action); the forms of a language's verbs are few and go to every task."""
     t = spans.tokens(df, text, pattern, key)
-    return t.join(verbs, t["token"] == verbs["form"]).select(key, "start", (F.col("start") + F.length("verb")).alias("end"), "verb", "action")
+    return t.join(F.broadcast(verbs), t["token"] == verbs["form"]).select(key, "start", (F.col("start") + F.length("verb")).alias("end"), "verb", "action")
 
 
 def objects_after(sentence: Column, at: Column) -> Column:
@@ -316,8 +317,8 @@ def events(df: DataFrame, ents: DataFrame, key: str, text: str = "text", verbs:
     v = verb_hits(s.select(F.struct(key, "sentence_start", "sentence").alias("_sid"), F.col("sentence").alias("_s")), verbs, "_sid", "_s")
     v = v.select("_sid.*", F.col("start").alias("verb_at"), "verb", "action")
     e = ents.select(F.col(key).alias("_k"), F.col("start").alias("_at"), F.col("type").alias("_type"), F.col("normalized").alias("_name"))
-    told = v.select(F.col(key).alias("_k"), F.col("sentence_start").alias("_at"), F.struct(F.col("sentence_start").alias("start"), (F.col("sentence_start") + F.length("sentence")).alias("end")).alias("_in")).distinct()
-    # sentences lie one after another: the last one with a verb that begins at or before an entity holds it, or none does
+    told = s.select(F.col(key).alias("_k"), F.col("sentence_start").alias("_at"), F.struct(F.col("sentence_start").alias("start"), (F.col("sentence_start") + F.length("sentence")).alias("end")).alias("_in"))
+    # sentences lie one after another: the last one that begins at or before an entity holds it, or none does
     both = e.withColumn("_in", F.lit(None).cast(told.schema["_in"].dataType)).unionByName(told, allowMissingColumns=True)
     w = Window.partitionBy("_k").orderBy("_at", F.col("_type").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     held = both.withColumn("_in", F.last("_in", ignorenulls=True).over(w)).where(F.col("_type").isNotNull() & (F.col("_at") < F.col("_in.end")))
