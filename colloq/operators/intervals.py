@@ -114,14 +114,16 @@ def speaker_totals(segments: DataFrame, key: str = "call_id") -> DataFrame:
     return g.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("_first"))).drop("_first")
 
 
-def cluster_totals(segments: DataFrame, calls: DataFrame, key: str = "call_id") -> DataFrame:
+def cluster_totals(segments: DataFrame, calls: DataFrame, key: str = "call_id", places: int | None = 4) -> DataFrame:
     """(key, cluster, speaker_id, n_segments, total_speech, speech_ratio, avg_similarity) of diarized segments; ``calls`` (key, duration).
 
     The speaker is that of the cluster's first segment; similarities count alike whatever their length.
+    The ratio is rounded to ``places``, or whole if they are None, for those who round it by another rule.
     """
     total = F.sum(F.col("end") - F.col("start"))
     g = segments.groupBy(key, "cluster").agg(F.min_by("speaker_id", "start").alias("speaker_id"), F.count("*").alias("n_segments"), total.alias("_t"), F.round(F.avg("similarity"), 4).alias("avg_similarity"))
-    ratio = F.when(F.col("duration") > 0, F.round(F.col("_t") / F.col("duration"), 4)).otherwise(0.0)
+    share = F.col("_t") / F.col("duration")
+    ratio = F.when(F.col("duration") > 0, share if places is None else F.round(share, places)).otherwise(0.0)
     return g.join(calls.select(key, "duration"), key, "left").select(key, "cluster", "speaker_id", "n_segments", F.round("_t", 2).alias("total_speech"), F.coalesce(ratio, F.lit(0.0)).alias("speech_ratio"), "avg_similarity")
 
 

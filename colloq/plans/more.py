@@ -89,7 +89,7 @@ def diarized_clusters(spark, d):
     s = segments(spark, d)
     calls = s.groupBy("call_id").agg(F.max("end").alias("duration"))
     own = s.where("end > start").withColumns({"cluster": F.col("idx") % 2, "similarity": F.lit(1.0)})
-    g = intervals.cluster_totals(own, calls)
+    g = intervals.cluster_totals(own, calls, places=None)  # rounded once, as in the SQL
     return g.select("call_id", "cluster", "speaker_id", "n_segments", F.col("total_speech").cast("long").alias("total_speech"), F.round(F.col("speech_ratio") * 10000).cast("long").alias("ratio"))
 
 
