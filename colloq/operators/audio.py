@@ -14,7 +14,8 @@ from .intervals import speech_islands
 def frames(signals: DataFrame, key: str, size: int) -> DataFrame:
     """(key, frame, rms, peak) of whole frames from rows (key, samples array); a cut-off tail is dropped."""
     n = F.floor(F.size("samples") / size).cast("int")
-    cut = signals.where(F.size("samples") >= size).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(F.col("samples"), i * size + 1, F.lit(size)))).alias("frame", "x"))
+    whole = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(F.col("samples"), i * size + 1, F.lit(size)))
+    cut = signals.select(key, F.posexplode(F.when(F.size("samples") >= size, whole)).alias("frame", "x"))  # not as a filter, which would make the samples twice
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     return cut.select(key, "frame", F.sqrt(total / size).alias("rms"), F.array_max(F.transform("x", lambda v: F.abs(v))).alias("peak"))
 
@@ -23,10 +24,33 @@ def frame_levels(frame_rows: DataFrame) -> DataFrame:
     return frame_rows.withColumn("db", decibels(F.col("rms")))
 
 
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with one rounding: the error of the product (Veltkamp and Dekker) and that of the sum are added last."""
+    halves = lambda x: (x * 134217729.0 - (x * 134217729.0 - x), x - (x * 134217729.0 - (x * 134217729.0 - x)))
+    (ah, al), (bh, bl), p = halves(a), halves(b), a * b
+    lost = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = p + c
+    back = s - p
+    return s + (lost + ((p - (s - back)) + (c - back)))
+
+
+def quantile(ordered: Column, q: float) -> Column:
+    """The continuous quantile of a sorted array, between two neighbours as DuckDB's quantile_cont has it, to the last bit: their mean by distance with a fused product."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    place = F.struct(ordered[F.floor(at).cast("int")].cast("double").alias("lo"), ordered[F.ceil(at).cast("int")].cast("double").alias("hi"), (at - F.floor(at)).alias("t"))
+    mixed = F.transform(F.array(place), lambda x: F.when(x["t"] == 0, x["lo"]).otherwise(_fused(x["lo"], 1 - x["t"], x["hi"] * x["t"])))[0]
+    return F.when(F.size(ordered) > 0, mixed)
+
+
+def _threshold(ordered: Column, least_range: float, fixed: float, margin: float) -> Column:
+    both = F.struct(quantile(ordered, 0.25).alias("low"), quantile(ordered, 0.95).alias("high"))
+    return F.transform(F.array(both), lambda x: F.when(x["high"] - x["low"] < least_range, fixed).otherwise(F.least(x["low"] + margin, F.lit(fixed))))[0]
+
+
 def voice_thresholds(levels: DataFrame, key: str, least_range: float = 10.0, fixed: float = -35.0, margin: float = 6.0) -> DataFrame:
-    """(key, threshold): the quarter level and a margin, at most ``fixed``; ``fixed`` itself for flat signals."""
-    g = levels.groupBy(key).agg(F.percentile("db", F.lit(0.25)).alias("low"), F.percentile("db", F.lit(0.95)).alias("high"))
-    return g.select(key, F.when(F.col("high") - F.col("low") < least_range, fixed).otherwise(F.least(F.col("low") + margin, F.lit(fixed))).alias("threshold"))
+    """(key, threshold): the quarter level and a margin, at most ``fixed``; ``fixed`` itself for flat signals. The levels of a key are gathered."""
+    g = levels.groupBy(key).agg(F.array_sort(F.collect_list("db")).alias("_o"))
+    return g.select(key, _threshold(F.col("_o"), least_range, fixed, margin).alias("threshold"))
 
 
 def quality(signals: DataFrame, key: str, rate: int = 16_000, frame_ms: int = 30, silence_db: float = -40.0) -> DataFrame:
