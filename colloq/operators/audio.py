@@ -97,9 +97,11 @@ def energy_segments(signals: DataFrame, key: str, rate: int = 16_000, frame_ms:
     ``least_speech_ms`` is none. A signal shorter than a frame has no speech.
     """
     size = rate * frame_ms // 1000
-    levels = frame_levels(frames(signals, key, size))
-    if adaptive:
-        levels = levels.join(voice_thresholds(levels, key, fixed=threshold), key)
+    levels = frame_levels(frames(signals, key, size)).select(key, "frame", "db")
+    if adaptive:  # a signal's levels are gathered once and meet their threshold there, without a join
+        g = levels.groupBy(key).agg(F.collect_list(F.struct("frame", "db")).alias("_l"))
+        g = g.withColumn("threshold", _threshold(F.array_sort(F.transform("_l", lambda x: x["db"])), 10.0, threshold, 6.0))
+        levels = g.select(key, "threshold", F.inline("_l"))
     else:
         levels = levels.withColumn("threshold", F.lit(threshold))
     on = levels.select(key, F.col("frame").cast("long").alias("frame"), (F.col("db") >= F.col("threshold")).alias("speech"))
