@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import spans, vectors
 from ..functions import text as tx
 from ..operators import audio, graph, intervals, kernels, language, records
-from ..shared import numbered_in_order
+from ..shared import numbered_in_order, spread
 from ..sources import exports, files, stores
 from ..streaming import live
 
@@ -600,8 +600,16 @@ def cluster_spectral(spark, d):
 
 
 def _customer_signals(spark, d) -> DataFrame:
-    x = F.transform(F.sequence(F.lit(0), F.lit(959)), lambda i: F.when((F.col("c_custkey") % 3 == 0) & (i >= 480), 0.0).otherwise(((F.col("c_custkey") * 7 + i * 13) % 101 - 50).cast("double") / 64))
-    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), x.alias("samples"))
+    """(id, samples): 960 samples of a wave that starts where the key says, the second half silent for every third customer.
+
+    A wave depends on the key's remainders alone; each of the few kinds is made once and given to its customers.
+    """
+    c = spread(t(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+    own = c.select("id", (F.col("id") * 7 % 101).alias("_w"), (F.col("id") % 3 == 0).alias("_q"))
+    kinds = spark.range(-100, 101).select(F.col("id").alias("_w"), F.explode(F.array(F.lit(True), F.lit(False))).alias("_q"))
+    at = lambda i: F.when(F.col("_q") & (i >= 480), 0.0).otherwise(((F.col("_w") + i * 13) % 101 - 50).cast("double") / 64)
+    waves = kinds.select("_w", "_q", F.transform(F.sequence(F.lit(0), F.lit(959)), at).alias("samples"))
+    return own.join(F.broadcast(waves), ["_w", "_q"]).select("id", "samples")  # 402 rows
 
 
 @query("""WITH x AS (SELECT c_custkey AS id, i, CASE WHEN c_custkey % 3 = 0 AND i >= 480 THEN 0.0 ELSE CAST((c_custkey * 7 + i * 13) % 101 - 50 AS DOUBLE) / 64 END AS v FROM customer, (SELECT unnest(range(0, 960)) AS i))

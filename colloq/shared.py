@@ -82,3 +82,9 @@ def numbered_in_order(df: DataFrame, order: list, name: str) -> DataFrame:
         total += row["n"]
     table = spark.createDataFrame(starts, "_p long, _start long")
     return own.join(F.broadcast(table), part == F.col("_p")).withColumn(name, F.col("_start") + place).drop("_p", "_start", "_at")  # a row a partition
+
+
+def spread(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Small rows from which each task makes much more: a partition for each ``rows`` of them, whatever their bytes, and one a core at least."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n)
