@@ -117,7 +117,9 @@ def validation_rest(spark, d):
 s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM g), r AS (SELECT doc_id, stem, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, round(n / total * (1 + least(length(stem) / 10.0, 0.5)), 5) DESC, stem) AS rank FROM s WHERE n >= 2)
 SELECT doc_id, stem, n, rank FROM r WHERE rank <= 10""")
 def keyword_scores(spark, d):
-    k = language.keywords(words(spark, d), "doc_id", STOP, lambda c: c, top=10, least_count=2, places=0)
+    # texts are dealt once by document, and counts, totals and ranks need no more
+    own = spans.words(t(spark, d, "documents").select("doc_id", "text").repartition("doc_id"), "text", "[A-Za-z]+", "doc_id").withColumn("token", F.lower("token"))
+    k = language.keywords(own, "doc_id", STOP, lambda c: c, top=10, least_count=2, places=0)
     return k.select("doc_id", "stem", "n", F.col("rank").cast("long").alias("rank"))
 
 
