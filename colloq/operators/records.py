@@ -183,16 +183,19 @@ def identify(queries: DataFrame, registry: DataFrame, item: str, vector: str = "
     return best.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("known", F.col("similarity") >= threshold).select(item, "speaker_id", "similarity", "rank", "known")
 
 
-def similarities(df: DataFrame, item: str, vector: str = "embedding", least: float = 0.9, block: int = 2048) -> DataFrame:
+def similarities(df: DataFrame, item: str, vector: str = "embedding", least: float = 0.9, block: int | None = None) -> DataFrame:
     """(a, b, similarity) of all pairs a < b whose cosine is at least ``least``: a blocked matrix product.
 
     Items are dealt by hash to blocks; each pair of blocks is one task's
     product of two matrices, and only pairs above ``least`` leave it. The work
     grows with the square of the table, as the result is defined; a row is
-    shipped once for each block.
+    shipped once for each block. Blocks hold a sixteenth of the table, from
+    2,048 to 16,384 rows, and a product is made in tiles of 2,048, so few
+    blocks need no more memory.
     """
-    kind = df.schema[item].dataType.simpleString()
-    n = max(1, -(-df.count() // block))
+    kind, tile = df.schema[item].dataType.simpleString(), 2048
+    rows = df.count()
+    n = max(1, -(-rows // (block or max(tile, min(8 * tile, rows // 16)))))
     own = df.where(F.col(vector).isNotNull()).select(item, vectors.unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(item), F.lit(n)).cast("int").alias("own"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", item, "v")
 
@@ -201,9 +204,14 @@ def similarities(df: DataFrame, item: str, vector: str = "embedding", least: flo
         left, right = pdf[pdf["own"] == key[0]], pdf[pdf["own"] == key[1]]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": left[item][:0], "b": left[item][:0], "similarity": np.zeros(0)})
-        s = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
-        i, j = np.nonzero(s >= least)
-        a, b, c = left[item].to_numpy()[i], right[item].to_numpy()[j], s[i, j]
+        x, y, found = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()).T, []
+        for lo in range(0, len(x), tile):
+            for at in range(0, y.shape[1], tile):
+                s = x[lo : lo + tile] @ y[:, at : at + tile]
+                i, j = np.nonzero(s >= least)
+                found.append((i + lo, j + at, s[i, j]))
+        i, j, c = (np.concatenate(parts) for parts in zip(*found))
+        a, b = left[item].to_numpy()[i], right[item].to_numpy()[j]
         keep = a < b if key[0] == key[1] else np.ones(len(a), bool)
         lo, hi = np.where(a < b, a, b), np.where(a < b, b, a)
         return pd.DataFrame({"a": lo[keep], "b": hi[keep], "similarity": c[keep]})
